@@ -17,16 +17,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder all executors share and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names that folder; only where a session leaves it unset (local tests)
-    does a temporary folder stand in.
+    ``spark.checkpoint.dir`` names it; only where a session leaves that unset (local tests) does a
+    temporary folder stand in.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cadenza-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

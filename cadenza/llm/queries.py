@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, pieces, quality, secrets
+from . import decontaminate, langid, lm, minhash, pieces, quality, rollups, secrets, sentences, suffixes
 from .common import documents
 
 
@@ -12,10 +12,34 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.token_totals(documents(spark, sf_dir))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(documents(spark, sf_dir))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(documents(spark, sf_dir))
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(documents(spark, sf_dir))
+
+
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.summary(documents(spark, sf_dir))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(documents(spark, sf_dir))
 
@@ -24,6 +48,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_secret_scans, op9_sentencepiece, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_token_rollups, op3_secret_scans, op4_decontamination, op5_suffix_dedup,
+        op6_minhash_near_dedup, op7_sentence_spans, op8_lm_scoring, op9_sentencepiece, op10_language_id,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
