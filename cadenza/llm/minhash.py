@@ -165,58 +165,56 @@ def overlap(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def _labels(ids: DataFrame, links: DataFrame) -> DataFrame:
-    comp = components(links)
-    return ids.join(comp.withColumnRenamed("id", "doc"), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp"))
+def _relabelled(label: DataFrame, found: DataFrame) -> DataFrame:
+    """``label`` (doc, comp) after the links ``found``: components of components."""
+    ca, cb = (label.select(F.col("doc").alias(x), F.col("comp").alias(f"c{x}")) for x in ("a", "b"))
+    merged = components(found.join(ca, "a").join(cb, "b").filter("ca <> cb").select("ca", "cb"), "ca", "cb")
+    return checkpointed(label.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("doc", F.coalesce("to", "comp").alias("comp")))
 
 
 def near_classes(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     """(doc_id, class_id, n_links): one row for each document; ``class_id`` is the smallest id of its class, ``n_links`` the verified links found at its text."""
     base = checkpointed(sketches(docs, rules).groupBy("doc_id").agg(F.min(F.struct("cls", "bands")).alias("s")).select("doc_id", "s.cls", "s.bands"))
     classes = base.groupBy("cls").agg(F.min(F.struct("doc_id", "bands")).alias("s")).select(F.col("s.doc_id").alias("doc"), "s.bands")
-    rows = checkpointed(classes.select("doc", F.explode("bands").alias("bucket")))
+    rows = classes.select("doc", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = checkpointed(rows.join(sizes, "bucket"))
     central = members.groupBy("doc").agg(F.sum("size").alias("central"))
     members = checkpointed(members.join(central, "doc").select("bucket", "doc", "central"))
-    ids = central.select("doc")
+    ids = members.select("doc").distinct()
     held = checkpointed(prints(docs.select("doc_id", "text").join(ids.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"), rules).dropDuplicates(["doc_id"]))
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    tested = links
+    label = checkpointed(ids.select("doc", F.col("doc").alias("comp")))
+    links = tested = docs.sparkSession.createDataFrame([], "a long, b long")
     first = members.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("doc")).alias("n"))).alias("s")).select("bucket", (-F.col("s.n")).alias("pivot"))
-    first = checkpointed(first)
     stars = checkpointed(members.join(first, "bucket").filter("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("shared")))
 
-    def verify(pairs: DataFrame) -> int:
-        nonlocal links, tested
+    def verify(pairs: DataFrame) -> None:
+        nonlocal links, tested, label
         pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        if not pairs.take(1):
-            return 0
+        if pairs.isEmpty():
+            return
         found = checkpointed(overlap(pairs, held, rules.similarity))
-        tested, links = checkpointed(tested.union(pairs)), checkpointed(links.union(found))
-        return 1
+        tested, links = tested.union(pairs), links.union(found)
+        if not found.isEmpty():
+            label = _relabelled(label, found)
 
     # each document against the pivot it shares most buckets with, then against the pivots of other components
     best = stars.groupBy("doc").agg(F.max(F.struct("shared", (-F.col("pivot")).alias("n"))).alias("s")).select(F.col("doc").alias("a"), (-F.col("s.n")).alias("b"))
     verify(best)
-    label = checkpointed(_labels(ids, links))
     others = stars.join(label, "doc").join(label.select(F.col("doc").alias("pivot"), F.col("comp").alias("pc")), "pivot").filter("comp <> pc")
     verify(others.select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
     used = first.withColumnRenamed("pivot", "doc")
     for step in range(rules.pivot_rounds + 1):
-        label = checkpointed(_labels(ids, links))
         main = first.join(label.withColumnRenamed("doc", "pivot"), "pivot").select("bucket", F.col("comp").alias("main"))
         rest = members.join(label, "doc").join(main, "bucket").filter("comp <> main").join(used, ["bucket", "doc"], "left_anti")
         if step < rules.pivot_rounds:
             rest = rest.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("doc")).alias("n"), "comp")).alias("s")).select("bucket", (-F.col("s.n")).alias("doc"), "s.comp")
         rest = checkpointed(rest.select("bucket", F.col("doc").alias("a"), F.col("comp").alias("ca")))
-        if not rest.take(1):
+        if rest.isEmpty():
             break
-        used = checkpointed(used.union(rest.select("bucket", F.col("a").alias("doc"))))
+        used = used.union(rest.select("bucket", F.col("a").alias("doc")))
         wide = members.select("bucket", F.col("doc").alias("b")).join(label.select(F.col("doc").alias("b"), F.col("comp").alias("cb")), "b")
         verify(rest.join(wide, "bucket").filter("ca <> cb").select("a", "b"))
-    label = checkpointed(_labels(ids, links))
     degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
     of_class = base.groupBy("cls").agg(F.min("doc_id").alias("doc")).join(label, "doc", "left").join(degree, "doc", "left").select("cls", F.coalesce("comp", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     worded = base.select("doc_id", "cls").join(of_class, "cls").select("doc_id", "class_id", "n_links")
