@@ -72,19 +72,20 @@ def estimated(f: DataFrame, g: Geometry, nominal: DataFrame | None = None) -> Da
     """
     key = _key(f)
     schema = f"track_id {key}, {_TEMPO}, candidates array<struct<rank:int,tempo:int,score:int,confidence:int,relation:int>>"
+    cols = ["track_id", "tempo", "confidence", "state", "flags", "lag", "phase", "evidence_first", "evidence_end", "candidates"]
     rows = f.withColumn("nominal", F.lit(0)) if nominal is None else f.join(nominal, "track_id", "left").fillna({"nominal": 0})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
         got = series.local_tempo(pdf["flux"].to_numpy(), g, int(pdf["nominal"].iloc[0]))
         if got is None:
-            return pd.DataFrame(columns=["track_id"])
+            return pd.DataFrame(columns=cols, dtype=object)
         candidates = [{"rank": i, **c} for i, c in enumerate(got["candidates"])]
         row = {"track_id": pdf["track_id"].iloc[0], **{c: got[c] for c in ("tempo", "confidence", "state", "flags", "lag", "phase")}}
         first, end = int(pdf["bin"].iloc[0]), int(pdf["bin"].iloc[-1]) + 1
-        return pd.DataFrame([row | {"evidence_first": first * g.onset_frames, "evidence_end": end * g.onset_frames, "candidates": candidates}])
+        return pd.DataFrame([row | {"evidence_first": first * g.onset_frames, "evidence_end": end * g.onset_frames, "candidates": candidates}], columns=cols)
 
-    return rows.groupBy("track_id").applyInPandas(lambda pdf: run(pdf).reindex(columns=["track_id", "tempo", "confidence", "state", "flags", "lag", "phase", "evidence_first", "evidence_end", "candidates"]), schema)
+    return rows.groupBy("track_id").applyInPandas(run, schema)
 
 
 def candidates(tempo: DataFrame) -> DataFrame:
