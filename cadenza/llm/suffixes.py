@@ -4,12 +4,16 @@ Of all suffixes (at word starts) only those at minimiser positions are kept: in
 ``min_words - gram_words + 1`` consecutive word grams the one with the least hash.  Two documents that
 share ``min_words`` words therefore keep the same suffixes inside the passage.  Suffixes whose gram occurs
 once can't match and go; the others get the words before and after the gram as context, are sorted
-globally by (gram, words after, words before), range-partitioned with the id as the last key, so that one
-gram may fill many partitions, and each is compared with its predecessor.  Equal words extend a match left
-and right; a longer match is the union of the matches at its several minimisers.  The last row of each
-partition is compared with the first of the next one.
+globally by (gram, words after, words before) and compared with their neighbours of the same gram: two
+match over ``min_words`` words where the words they share before and after the gram, extended left and
+right, make up that length.  A longer match is the union of such windows at its several minimisers.  Of
+equal windows the one with the least (doc_id, place) is the first; a word goes only where an equal one stays
+at a lesser place, so a copy of every passage is left.
 
-A suffix that matches its predecessor is a later occurrence; what has none before it is a first one.
+The neighbours of a gram are compared all together as long as there are ``block_rows`` of them at most.
+The suffixes of a hotter gram are range-partitioned by their words and ids too, so that they fill many
+partitions, and are compared in blocks of neighbours; successive blocks, and partitions, meet in their
+last and first suffix.
 
 Defined results for odd input: null and empty texts and texts of fewer than ``min_words`` words have no
 rows; rows without an id are left out; rows with equal ids count as one document; a document matches
@@ -27,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, checkpointed, chunks, column
-from .vectext import Texts, ngram_hash
+from .vectext import U, Texts, mix, ngram_hash
 
 
 @dataclass(frozen=True)
 class SuffixRules:
     min_words: int = 50
     gram_words: int = 20
+    block_rows: int = 20_000
 
     @property
     def window(self) -> int:
@@ -83,21 +88,22 @@ def suffix_rows(docs: DataFrame, rules: SuffixRules) -> DataFrame:
 
 
 def contexts(held: DataFrame, rules: SuffixRules) -> DataFrame:
-    """(gram, after, before, doc_id, pos): the words after each gram, and before it from the nearest on, as 32-bit prints in bytes."""
-    k, w = rules.gram_words, rules.window
+    """(gram, after, before, doc_id, pos, hot): the words after each gram, and before it from the nearest on, as 32-bit prints in bytes."""
+    k, w = rules.gram_words, rules.min_words - rules.gram_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=CHUNK_BYTES):
             h, doc, first = _words(batch)
             lists = column(batch, "at")
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            pos = lists.flatten().to_numpy(zero_copy_only=False)
+            at = lists.flatten()
+            pos, hot = (at.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "hot"))
             size = np.bincount(doc, minlength=batch.num_rows)
             fits = (pos >= 0) & (pos + k <= size[row])
-            row, pos = row[fits], pos[fits]
+            row, pos, hot = row[fits], pos[fits], hot[fits].astype(bool)
             at = first[row] + pos
             gram, _ = ngram_hash(h, doc, k)
-            prints = (h >> np.uint64(32)).astype(">u4")
+            prints = (h >> np.uint64(32)).astype("<u4")
             step = np.arange(w)
             after, before = at[:, None] + k + step, at[:, None] - 1 - step
             ra, rb = np.minimum(w, size[row] - pos - k), np.minimum(w, pos)
@@ -105,43 +111,63 @@ def contexts(held: DataFrame, rules: SuffixRules) -> DataFrame:
             fb = prints[np.clip(before, 0, len(h) - 1)][step < rb[:, None]]
             blob = lambda flat, n: pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n * 4)]).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[at].view(np.int64)), blob(fa, ra), blob(fb, rb), column(batch, "doc_id").take(pa.array(row)), pa.array(pos.astype(np.int32))], names=["gram", "after", "before", "doc_id", "pos"]
+                [pa.array(gram[at].view(np.int64)), blob(fa, ra), blob(fb, rb), column(batch, "doc_id").take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(hot)],
+                names=["gram", "after", "before", "doc_id", "pos", "hot"],
             )
 
-    return held.mapInArrow(run, "gram long, after binary, before binary, doc_id long, pos int")
+    return held.mapInArrow(run, "gram long, after binary, before binary, doc_id long, pos int, hot boolean")
 
 
-def _common(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Numbers of leading words that a[i] and b[i] share."""
-    out = np.zeros(len(a), np.int64)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        n = min(len(x), len(y))
-        if x[:n] == y[:n]:
-            out[i] = n // 4
-        else:
-            out[i] = np.flatnonzero(np.frombuffer(x, np.uint32, n // 4) != np.frombuffer(y, np.uint32, n // 4))[0]
-    return out
+def _prefixes(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first 0 to ``width`` words of each, and the numbers of words."""
+    words = np.frombuffer(b"".join(x.ljust(4 * width, b"\0") for x in blobs), "<u4").reshape(len(blobs), width)
+    out = np.zeros((len(blobs), width + 1), np.uint64)
+    for k in range(width):
+        out[:, k + 1] = mix(out[:, k] * U(0x9E3779B97F4A7C15) + words[:, k].astype(np.uint64) + U(k + 1))
+    return out, np.array([len(x) // 4 for x in blobs])
 
 
 def matches(gram, after, before, doc, pos, rules: SuffixRules) -> list[tuple[int, int, int, bool, int]]:
-    """Spans (doc, start, end, first, other) of neighbours in suffix order that share ``min_words`` words or more."""
-    same = np.flatnonzero(gram[1:] == gram[:-1])
-    if not len(same):
+    """Spans (doc, start, end, first, other): the windows of ``min_words`` words around each gram that another of the rows has, joined."""
+    n, rest = len(gram), rules.min_words - rules.gram_words
+    _, back, count = np.unique(gram, return_inverse=True, return_counts=True)
+    keep = np.flatnonzero(count[back] > 1)
+    if not len(keep):
         return []
-    right = rules.gram_words + _common([after[i] for i in same], [after[i + 1] for i in same])
-    left = _common([before[i] for i in same], [before[i + 1] for i in same])
-    total = right + left
-    good = (total >= rules.min_words) & ((doc[same] != doc[same + 1]) | (np.abs(pos[same] - pos[same + 1]) >= total))
+    order = keep[np.lexsort((pos[keep], doc[keep]))]  # by place, so that the first of equal windows is the least
+    gram, doc, pos = gram[order].view(np.uint64), doc[order], pos[order]
+    ha, ra = _prefixes([after[i] for i in order], rest)
+    hb, rb = _prefixes([before[i] for i in order], rest)
+    n = len(order)
+    later, first = np.zeros((n, rest + 2), bool), np.zeros((n, rest + 2), bool)
+    other = np.full(n, np.iinfo(np.int64).max)
+    for left in range(rest + 1):  # words of the window before the gram
+        at = np.flatnonzero((rb >= left) & (ra >= rest - left))
+        key = mix(gram[at] ^ mix(hb[at, left] + U(1))) ^ mix(ha[at, rest - left] + U(2))
+        _, head, back, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        mine, theirs = at, at[head[back]]
+        # a text matches itself only without overlap
+        good = (mine != theirs) & ((doc[mine] != doc[theirs]) | (pos[mine] - pos[theirs] >= rules.min_words))
+        mine, theirs = mine[good], theirs[good]
+        later[mine, left] = True
+        first[theirs, left] = True
+        np.minimum.at(other, mine, doc[theirs])
+        np.minimum.at(other, theirs, doc[mine])
     out = []
-    for i, r, x in zip(same[good].tolist(), right[good].tolist(), left[good].tolist(), strict=True):
-        out.append((doc[i], pos[i] - x, pos[i] + r, True, doc[i + 1]))
-        out.append((doc[i + 1], pos[i + 1] - x, pos[i + 1] + r, False, doc[i]))
+    for flags, is_first in ((first, True), (later, False)):
+        edge = np.diff(flags[:, : rest + 1].astype(np.int8), axis=1, prepend=0, append=0)
+        (row, lo), (_, hi) = np.nonzero(edge == 1), np.nonzero(edge == -1)  # runs of windows: left from lo to hi - 1
+        start, end = pos[row] - (hi - 1), pos[row] - lo + rules.min_words
+        out += zip(doc[row].tolist(), start.tolist(), end.tolist(), [is_first] * len(row), other[row].tolist(), strict=True)
     return out
 
 
 _ROW = "doc_id long, start int, end int, first boolean, other long, part int, gram long, after binary, before binary, pos int, edge int"
 
 
+_COLUMNS = ("gram", "after", "before", "doc_id", "pos")
+
+
 def neighbours(ordered: DataFrame, rules: SuffixRules) -> DataFrame:
     """Matches inside each partition, and its first and last suffix as rows with ``edge`` 0 and 1."""
 
@@ -150,27 +176,38 @@ def neighbours(ordered: DataFrame, rules: SuffixRules) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.bool_()), ("other", pa.int64()), ("part", pa.int32()), ("gram", pa.int64()), ("after", pa.binary()), ("before", pa.binary()), ("pos", pa.int32()), ("edge", pa.int32())])
-        carry = None
 
         def edge(row, which):
             return pa.RecordBatch.from_pylist([{"doc_id": row[3], "part": part, "gram": row[0], "after": row[1], "before": row[2], "pos": row[4], "edge": which}], schema=schema)
 
+        def found(cols):
+            spans = matches(np.array(cols[0]), cols[1], cols[2], np.array(cols[3]), np.array(cols[4]), rules) if cols[0] else []
+            if spans:
+                d, s, e, f, o = zip(*spans, strict=True)
+                blank = [pa.nulls(len(d), t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(f), pa.array(o, pa.int64()), *blank], schema=schema)
+
+        held: list[list] = [[] for _ in _COLUMNS]
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [column(batch, c).to_pylist() for c in ("gram", "after", "before", "doc_id", "pos")]
-            if carry is None:
+            cols = [column(batch, c).to_pylist() for c in _COLUMNS]
+            if last is None:
                 yield edge([c[0] for c in cols], 0)
+            last = [c[-1] for c in cols]
+            held = [a + b for a, b in zip(held, cols, strict=True)]
+            # the last gram may go on in the next batch; one with more rows than a block is taken as it comes
+            cut = int(np.searchsorted(np.array(held[0]), held[0][-1]))
+            if len(held[0]) - cut > rules.block_rows:
+                yield from found(held)
+                held = [c[-1:] for c in held]
             else:
-                cols = [[x, *c] for x, c in zip(carry, cols, strict=True)]
-            carry = [c[-1] for c in cols]
-            found = matches(np.array(cols[0]), cols[1], cols[2], np.array(cols[3]), np.array(cols[4]), rules)
-            if found:
-                d, s, e, f, o = zip(*found, strict=True)
-                blank = [pa.nulls(len(d), t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(f), pa.array(o, pa.int64()), *blank], schema=schema)
-        if carry is not None:
-            yield edge(carry, 1)
+                yield from found([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        yield from found(held)
+        if last is not None:
+            yield edge(last, 1)
 
     return ordered.mapInArrow(run, _ROW)
 
@@ -183,12 +220,14 @@ def repeats(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
     rows = suffix_rows(docs, rules)
-    twice = rows.groupBy("gram").agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.max(F.struct("doc_id", "pos")).alias("b")).filter("a <> b").select("gram")
-    places = checkpointed(rows.join(twice, "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
+    twice = rows.groupBy("gram").agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.max(F.struct("doc_id", "pos")).alias("b"), F.count("*").alias("n")).filter("a <> b")
+    # written, so that the join has a shuffle of its own on either side and Spark can split a hot gram
+    twice = checkpointed(twice.select("gram", (F.col("n") > rules.block_rows).alias("hot")))
+    places = checkpointed(rows.join(twice, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "hot")).alias("at")))
     held = docs.join(places, "doc_id")
-    keys = ["gram", "after", "before", "doc_id", "pos"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = contexts(held, rules).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    within = [F.when(F.col("hot"), F.col(c)) for c in ("after", "before", "doc_id", "pos")]
+    ordered = contexts(held, rules).repartitionByRange(parts, "gram", *within).sortWithinPartitions(*_COLUMNS)
     found = checkpointed(neighbours(ordered, rules))
     # two rows for each partition come to the driver, to close the seams between neighbouring partitions
     edges = found.filter("edge is not null").select("part", "edge", "gram", "after", "before", "doc_id", "pos").orderBy("part", "edge").collect()
