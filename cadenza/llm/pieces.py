@@ -185,7 +185,7 @@ class Pieces:
         place = np.cumsum(sizes[occ])  # a place in the chunk; less the place where its text starts
         ends = np.cumsum(doc_sizes)
         begin = np.concatenate([[0], place])[ends - doc_sizes]
-        row = mix(keys.astype(np.int64).view(np.uint64) + U(seed % 2**64) * _BASE)
+            row = mix(keys.astype(np.int64).view(np.uint64) + U(seed * int(_BASE) % 2**64))
         seeds = mix(row[docs] ^ mix((place - begin[docs]).astype(np.uint64) + _BASE))
         order = np.argsort(sizes, kind="stable")
         rank = np.empty(len(order), np.int64)
