@@ -95,9 +95,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules())
     part = F.expr(f"cast(shiftrightunsigned(fp, block * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}L as int)")
     blocks = F.explode(F.array(*[F.lit(j) for j in range(BLOCKS)])).alias("block")
     index = items.select("item_id", "fp", blocks).select("item_id", "block", F.explode(F.transform(masks, lambda m: part.bitwiseXOR(m))).alias("value"))
-    # windows with one fingerprint meet the index once
+    # windows with one fingerprint meet the index once; its size is thousands of rows an item, which Spark's estimate for
+    # a broadcast doesn't see
     prints = marked.select("fp").distinct()
-    pairs = prints.select("fp", blocks).select("fp", "block", part.alias("value")).join(index, ["block", "value"]).select("fp", "item_id").distinct()
+    pairs = prints.select("fp", blocks).select("fp", "block", part.alias("value")).join(index.hint("merge"), ["block", "value"]).select("fp", "item_id").distinct()
     near = pairs.join(items.select("item_id", F.col("fp").alias("ifp"), F.col("e").alias("ie")), "item_id").withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp")))).filter(F.col("hamming") <= rules.radius)
     shared = F.size(F.array_intersect("e", "ie"))
     scored = marked.join(near, "fp").withColumn("similarity", shared / (F.size("e") + F.size("ie") - shared)).filter(F.col("similarity") >= s - 1e-12)
