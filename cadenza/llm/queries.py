@@ -21,15 +21,15 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("hamming")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeats(documents(spark, sf_dir))
+    return suffixes.summary(documents(spark, sf_dir))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_classes(documents(spark, sf_dir))
+    return minhash.near_classes(documents(spark, sf_dir)).select("doc_id", "class_id")
 
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +56,52 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    # best window of an item's size for each document and item, by exact weighted similarity; only windows with enough of the items' shingles
+    "op4_decontamination": r"""WITH d AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
+      i AS (SELECT item_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM benchmark),
+      ds AS (SELECT doc_id, len(w) AS nw, p, CASE WHEN len(w) >= 5 THEN array_to_string(w[p + 1 : p + 5], ' ') ELSE array_to_string(w, ' ') END AS g FROM (SELECT *, unnest(range(greatest(len(w) - 4, 1))) AS p FROM d WHERE len(w) > 0)),
+      sh AS (SELECT item_id, len(w) AS size, p, CASE WHEN len(w) >= 5 THEN array_to_string(w[p + 1 : p + 5], ' ') ELSE array_to_string(w, ' ') END AS g FROM (SELECT *, unnest(range(greatest(len(w) - 4, 1))) AS p FROM i WHERE len(w) > 0)),
+      hits AS (SELECT doc_id, nw, ds.p, k.size, greatest(k.size - 4, 1) AS n FROM ds JOIN (SELECT DISTINCT size, g FROM sh) k USING (g)),
+      st AS (SELECT doc_id, size, n, nw, unnest(range(least(greatest(p - n + 1, 0), greatest(nw - size, 0)), least(p, greatest(nw - size, 0)) + 1)) AS start FROM hits),
+      win AS (SELECT doc_id, size, n, start FROM st GROUP BY doc_id, size, n, nw, start HAVING count(*) >= 0.8 / 1.8 * (least(n, greatest(nw - 4, 1)) + n) - 0.000001),
+      wg AS (SELECT win.doc_id, size, start, g, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.p >= start AND ds.p < start + n GROUP BY ALL),
+      ws AS (SELECT doc_id, size, start, sum(c) AS total FROM wg GROUP BY ALL),
+      ig AS (SELECT item_id, g, count(*) AS c, sum(count(*)) OVER (PARTITION BY item_id) AS total FROM sh GROUP BY item_id, g),
+      sim AS (SELECT wg.doc_id, ig.item_id, wg.start, wg.size, sum(least(wg.c, ig.c)) AS shared, any_value(ws.total) + any_value(ig.total) AS mass FROM wg JOIN ws USING (doc_id, size, start) JOIN ig USING (g) GROUP BY ALL)
+      SELECT doc_id, item_id, start::BIGINT AS start_word, size::BIGINT AS n_words, round(shared / (mass - shared)::DOUBLE, 9) AS similarity FROM sim WHERE shared / (mass - shared)::DOUBLE >= 0.8 - 1e-12
+      QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / (mass - shared)::DOUBLE DESC, start, size DESC) = 1""",
+    # every run of 50 words that stands elsewhere too, joined; the least place of each stays
+    "op5_suffix_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+      s AS (SELECT doc_id, p, md5(array_to_string(w[p + 1 : p + 50], ' ')) AS k FROM (SELECT *, unnest(range(len(w) - 49)) AS p FROM d WHERE len(w) >= 50)),
+      m AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(p) OVER o AS fp, count(*) OVER (PARTITION BY k) AS c FROM s WINDOW o AS (PARTITION BY k ORDER BY doc_id, p)),
+      l AS (SELECT doc_id, p, k FROM m WHERE c > 1 AND (doc_id <> fd OR p - fp >= 50)),
+      e AS (SELECT doc_id, p, 1 AS a, 1 AS r FROM l UNION ALL SELECT fd, fp, 1, 0 FROM (SELECT DISTINCT fd, fp, k FROM m JOIN l USING (doc_id, p, k))),
+      x AS (SELECT doc_id, p, 'a' AS kind FROM e UNION SELECT doc_id, p, 'r' FROM e WHERE r = 1),
+      g AS (SELECT *, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, kind ORDER BY p) AS island FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id, kind ORDER BY p) AS q FROM x)),
+      z AS (SELECT doc_id, kind, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, kind, island)
+      SELECT doc_id, sum(b - a) FILTER (kind = 'a')::BIGINT AS n_repeated, coalesce(sum(b - a) FILTER (kind = 'r'), 0)::BIGINT AS n_removable,
+      string_agg(a || ':' || b, ',' ORDER BY a) FILTER (kind = 'a') AS repeated, coalesce(string_agg(a || ':' || b, ',' ORDER BY a) FILTER (kind = 'r'), '') AS removable FROM z GROUP BY doc_id""",
+    # components of all pairs with a weighted Jaccard similarity of 0.8 or more
+    "op6_minhash_near_dedup": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents WHERE doc_id IS NOT NULL),
+      s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN md5(array_to_string(w[p + 1 : p + 5], ' ')) ELSE array_to_string(w, ' ') END AS g FROM (SELECT *, unnest(range(greatest(len(w) - 4, 1))) AS p FROM d WHERE len(w) > 0)),
+      c AS (SELECT doc_id, g, count(*) AS c FROM s GROUP BY ALL), t AS (SELECT doc_id, sum(c) AS t FROM c GROUP BY 1),
+      e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM c x JOIN c y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN t p ON p.doc_id = x.doc_id JOIN t q ON q.doc_id = y.doc_id GROUP BY 1, 2 HAVING sum(least(x.c, y.c)) >= 0.8 * (any_value(p.t) + any_value(q.t) - sum(least(x.c, y.c))) - 1e-9),
+      r AS (SELECT doc_id, doc_id AS class_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.class_id)
+      SELECT doc_id, min(class_id) AS class_id FROM r GROUP BY 1""",
+    # sentences that a repeated run of at least three sentences and twenty words covers, but for its first place
+    "op7_sentence_spans": rf"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
+      w AS (SELECT doc_id, line, generate_subscripts(v, 1) AS k, len(v) AS n, unnest(v) AS word FROM (SELECT doc_id, line, {_WORDS.format("t")} AS v FROM l)),
+      f AS (SELECT doc_id, word, row_number() OVER o - 1 AS pos, (k = n OR regexp_matches(word, '[.!?]$'))::INT AS stop FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY line, k)),
+      i AS (SELECT *, sum(stop) OVER (PARTITION BY doc_id ORDER BY pos) - stop AS s FROM f),
+      a AS (SELECT doc_id, list(word ORDER BY pos) AS words FROM f GROUP BY 1),
+      s AS (SELECT doc_id, s::BIGINT AS s, min(pos) AS first, max(pos) + 1 AS after FROM i GROUP BY 1, 2),
+      p AS (SELECT x.doc_id, x.s AS i, min(y.s) AS j, x.first, min(y.after) AS after FROM s x JOIN s y ON y.doc_id = x.doc_id AND y.s >= x.s + 2 AND y.after - x.first >= 20 GROUP BY x.doc_id, x.s, x.first),
+      k AS (SELECT p.*, md5(array_to_string(words[first + 1 : after], ' ')) AS key FROM p JOIN a USING (doc_id)),
+      m AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(i) OVER o AS fi FROM k WINDOW o AS (PARTITION BY key ORDER BY doc_id, i)),
+      r AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS s FROM m WHERE doc_id <> fd OR i <> fi),
+      o AS (SELECT doc_id, string_agg(fd::VARCHAR, ',' ORDER BY fd) AS first_docs FROM (SELECT DISTINCT doc_id, fd FROM m WHERE doc_id <> fd OR i <> fi) GROUP BY 1)
+      SELECT doc_id, count(*) AS n_removed, string_agg(s::VARCHAR, ',' ORDER BY s) AS sentences, any_value(first_docs) AS first_docs FROM r JOIN o USING (doc_id) GROUP BY doc_id""",
+}

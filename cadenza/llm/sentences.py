@@ -126,4 +126,4 @@ def cleaned(docs: DataFrame, rules: SpanRules = SpanRules()) -> DataFrame:
 
 
 def summary(docs: DataFrame, rules: SpanRules = SpanRules()) -> DataFrame:
-    return removals(docs, rules).select("doc_id", F.size("sentences").cast("long").alias("n_removed"), F.array_join("sentences", ",").alias("sentences"), "first_docs")
+    return removals(docs, rules).select("doc_id", F.size("sentences").cast("long").alias("n_removed"), F.array_join("sentences", ",").alias("sentences"), F.array_join("first_docs", ",").alias("first_docs"))

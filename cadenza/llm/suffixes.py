@@ -212,11 +212,8 @@ def neighbours(ordered: DataFrame, rules: SuffixRules) -> DataFrame:
     return ordered.mapInArrow(run, _ROW)
 
 
-def repeats(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
-    """(doc_id, start_word, end_word, is_first, other_doc): maximal repeated spans, in words, end exclusive.
-
-    Spans with ``is_first`` false may go: an equal one stays elsewhere.
-    """
+def matched(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
+    """(doc_id, start, end, first, other): the matches at every kept suffix, before those of a document are joined."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
     rows = suffix_rows(docs, rules)
@@ -238,23 +235,43 @@ def repeats(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
     schema = "doc_id long, start int, end int, first boolean, other long"
     seams = spark.createDataFrame([(int(d), int(s), int(e), bool(f), int(o)) for d, s, e, f, o in seams], schema)
     spans = found.filter("edge is null").select("doc_id", "start", "end", "first", "other").union(seams)
+    return spans
+
+
+def _joined(spans) -> list[list[int]]:
+    """Overlapping and touching (start, end) as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def repeats(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
+    """(doc_id, repeated, removable, other_docs): a row for each document with a repeated span.
+
+    ``repeated`` are all its maximal spans, (start, end) in words, end exclusive; ``removable`` those of which
+    an equal one stays elsewhere; ``other_docs`` documents met there.
+    """
     # per document only: as many spans as it has kept suffixes
-    lists = spans.groupBy("doc_id", "first").agg(F.collect_set(F.struct("start", "end", "other")).alias("spans"))
+    lists = matched(docs, rules).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "first", "other")).alias("spans"))
+    pair = pa.list_(pa.list_(pa.int64()))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                merged: list[list[int]] = []
-                for s in sorted((x["start"], x["end"], x["other"]) for x in r["spans"]):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                        merged[-1][2] = min(merged[-1][2], s[2])
-                    else:
-                        merged.append(list(s))
-                out += [(r["doc_id"], s, e, r["first"], o) for s, e, o in merged]
-            if out:
-                d, s, e, f, o = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(f), pa.array(o, pa.int64())], names=["doc_id", "start_word", "end_word", "is_first", "other_doc"])
-
-    return lists.mapInArrow(merge, "doc_id long, start_word long, end_word long, is_first boolean, other_doc long")
+            rows = column(batch, "spans").to_pylist()
+            every = [_joined({(x["start"], x["end"]) for x in r}) for r in rows]
+            later = [_joined({(x["start"], x["end"]) for x in r if not x["first"]}) for r in rows]
+            others = [sorted({x["other"] for x in r}) for r in rows]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(every, pair), pa.array(later, pair), pa.array(others, pa.list_(pa.int64()))], names=["doc_id", "repeated", "removable", "other_docs"])
+
+    return lists.mapInArrow(merge, "doc_id long, repeated array<array<long>>, removable array<array<long>>, other_docs array<long>")
+
+
+def summary(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
+    """``repeats`` with numbers of words and the spans as text."""
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[0], x[1])), ",")
+    words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x[1] - x[0])
+    return repeats(docs, rules).select("doc_id", words("repeated").alias("n_repeated"), words("removable").alias("n_removable"), text("repeated").alias("repeated"), text("removable").alias("removable"))

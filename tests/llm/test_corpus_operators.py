@@ -235,26 +235,22 @@ def matched_words(rows, n=50) -> dict[int, set[int]]:
     return out
 
 
+def places(spans) -> set[int]:
+    return {i for a, b in spans for i in range(a, b)}
+
+
 def test_suffix_repeats_cover_all_shared_runs(spark, odd_rows):
     rows = copies() + [(i + 1000 if i is not None else None, t, x, s) for i, t, x, s in odd_rows]
     got = suffixes.repeats(table(spark, rows, clashes=True)).collect()
-    covered: dict[int, set[int]] = {}
-    firsts = Counter()
-    for r in got:
-        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
-        firsts[r.is_first] += 1
-    assert {d: s for d, s in covered.items()} == matched_words(rows)
-    assert firsts[True] and firsts[False]
+    assert {r.doc_id: places(r.repeated) for r in got} == matched_words(rows)
+    assert any(r.removable for r in got) and any(not r.removable for r in got)
     assert suffixes.repeats(table(spark, [])).count() == 0
 
 
 def test_removable_spans_leave_a_copy(spark):
     """Whatever is removed, every shared run stays somewhere."""
     rows = [(i, t, x, s) for i, t, x, s in copies(11)]
-    gone: dict[int, set[int]] = {}
-    for r in suffixes.repeats(table(spark, rows)).collect():
-        if not r.is_first:
-            gone.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    gone = {r.doc_id: places(r.removable) for r in suffixes.repeats(table(spark, rows)).collect()}
     left = Counter()
     for d, t, *_ in rows:
         w = WORD.findall(t)
