@@ -111,7 +111,7 @@ def test_click_trains(lag):
 
 def test_silence_has_no_tempo(spark):
     assert series.local_tempo(np.zeros(2048), Geometry()) is None
-    df = frame(spark, {"a": np.zeros(256 * 600)})
+    df = spark.range(256 * 600).selectExpr("'a' as track_id", "id as frame", "0.0D as x")
     assert Analysis(df, Feature.BPM).tempo.count() == 0
 
 
@@ -144,13 +144,10 @@ def test_relations_on_both_sides_of_the_tolerance():
 def test_segments_follow_a_tempo_change(spark):
     """Two tempi in one track: two segments, ordered beats that run on."""
     n = 48_000 * 22
-    x = np.zeros(2 * n)
-    for start, bpm in ((0, 117.188), (n, 156.25)):
-        period = 48_000 * 60 / bpm
-        for k in range(int(n / period)):
-            at = int(start + k * period)
-            x[at : at + 192] = 0.9
-    a = Analysis(frame(spark, {"a": x}), Feature.DYNAMIC_TEMPO, Geometry(sample_rate=48_000))
+    p, q = (48_000 * 60 / bpm for bpm in (117.188, 156.25))
+    pulse = f"case when id < {n} then pmod(id, {p}D) < 192 else pmod(id - {n}, {q}D) < 192 end"
+    x = spark.range(2 * n).selectExpr("'a' as track_id", "id as frame", f"if({pulse}, 0.9D, 0.0D) as x")
+    a = Analysis(x, Feature.DYNAMIC_TEMPO, Geometry(sample_rate=48_000))
     rows = a.segments.orderBy("segment_id").collect()
     assert len(rows) >= 2
     assert any(115_000 < r.tempo < 120_000 for r in rows) and 150_000 < rows[-1].tempo < 160_000
