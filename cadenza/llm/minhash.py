@@ -8,9 +8,12 @@ documents agree in a register with a probability equal to their weighted Jaccard
 process come in increasing order, and it ends once they pass the document's latest register.
 
 Registers are banded.  In every band bucket the documents are compared with a pivot, the one that shares
-most buckets with others, by exact multiset overlap; what the first pivots leave in different components
-is compared with further pivots, and at last every document outside its bucket's main component with the
-whole bucket.  So links are lost neither to hot buckets nor to a cap, and no bucket is expanded into pairs.
+most buckets with others, by exact multiset overlap.  Documents that stay outside their pivot's component may
+still be near others of the bucket.  They meet by an exact prefix join: in a pivot's group shingles are
+ordered with those the pivot lacks first, a pair at the threshold shares one of the first fifth of either, and
+the places of the first shared one bound the overlap, which rules out nearly all pairs around a common
+original inside the join.  What is left is compared exactly.  So links are lost neither to hot buckets nor
+to a cap, and no bucket is expanded into pairs.
 
 Defined results for odd input: rows with equal ids count as one document; null ids stay out of the result;
 texts of fewer than five words are one shingle; null texts and texts without a word are alone in their
@@ -38,8 +41,6 @@ class NearRules:
     similarity: float = 0.8
     bands: int = 24
     rows: int = 4
-    #: Rounds of further pivots before the rest of each bucket is compared whole.
-    pivot_rounds: int = 3
 
 
 def shingles(col: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -165,6 +166,42 @@ def overlap(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
+def prefixes(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """For (pivot, doc, comp, rest) the first elements of each document in its pivot's order, with their places and the document's size: (pivot, token, doc, comp, rest, size, place)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, sizes = [], []
+            for p, q in zip(column(batch, "pd"), column(batch, "pp"), strict=True):
+                p, q = np.frombuffer(p.as_buffer(), "<u4"), np.frombuffer(q.as_buffer(), "<u4")
+                shared = np.isin(p, q)
+                need = int(np.ceil(similarity * len(p) - 1e-9))
+                tokens.append(np.concatenate([p[~shared], p[shared]])[: len(p) - need + 1].astype(np.int64))
+                sizes.append(len(p))
+            n = np.array([len(t) for t in tokens], np.int64)
+            row = pa.array(np.repeat(np.arange(len(n)), n))
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays(
+                [*(column(batch, c).take(row) for c in ("pivot", "doc", "comp", "rest")), pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])), pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(place.astype(np.int32))],
+                names=["pivot", "doc", "comp", "rest", "token", "size", "place"],
+            )
+
+    d = held.select(F.col("doc_id").alias("doc"), F.col("print").alias("pd"))
+    p = held.select(F.col("doc_id").alias("pivot"), F.col("print").alias("pp"))
+    rows = pairs.join(d, "doc").join(p, "pivot").select("pivot", "doc", "comp", "rest", "pd", "pp")
+    return rows.mapInArrow(run, "pivot long, doc long, comp long, rest boolean, token long, size int, place int")
+
+
+def left_over(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of one pivot, of different components, one of them at least outside the pivot's, that may reach the threshold."""
+    rows = checkpointed(prefixes(pairs, held, similarity))
+    x, y = (rows.select("pivot", "token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "comp", "rest", "size", "place"))) for k in ("a", "b"))
+    # |shared| >= s / (1 + s) * (|a| + |b|), and at most what is left from the first shared element on
+    enough = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-6) <= F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    once = ~F.col("rest_b") | (F.col("doc_a") < F.col("doc_b"))
+    return x.filter("rest_a").join(y, ["pivot", "token"]).filter((F.col("comp_a") != F.col("comp_b")) & once & enough).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+
+
 def _relabelled(label: DataFrame, found: DataFrame) -> DataFrame:
     """``label`` (doc, comp) after the links ``found``: components of components."""
     ca, cb = (label.select(F.col("doc").alias(x), F.col("comp").alias(f"c{x}")) for x in ("a", "b"))
@@ -203,18 +240,12 @@ def near_classes(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     verify(best)
     others = stars.join(label, "doc").join(label.select(F.col("doc").alias("pivot"), F.col("comp").alias("pc")), "pivot").filter("comp <> pc")
     verify(others.select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
-    used = first.withColumnRenamed("pivot", "doc")
-    for step in range(rules.pivot_rounds + 1):
-        main = first.join(label.withColumnRenamed("doc", "pivot"), "pivot").select("bucket", F.col("comp").alias("main"))
-        rest = members.join(label, "doc").join(main, "bucket").filter("comp <> main").join(used, ["bucket", "doc"], "left_anti")
-        if step < rules.pivot_rounds:
-            rest = rest.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("doc")).alias("n"), "comp")).alias("s")).select("bucket", (-F.col("s.n")).alias("doc"), "s.comp")
-        rest = checkpointed(rest.select("bucket", F.col("doc").alias("a"), F.col("comp").alias("ca")))
-        if rest.isEmpty():
-            break
-        used = used.union(rest.select("bucket", F.col("a").alias("doc")))
-        wide = members.select("bucket", F.col("doc").alias("b")).join(label.select(F.col("doc").alias("b"), F.col("comp").alias("cb")), "b")
-        verify(rest.join(wide, "bucket").filter("ca <> cb").select("a", "b"))
+    # documents outside their pivot's component, with all that share the pivot
+    both = stars.join(label, "doc").join(label.select(F.col("doc").alias("pivot"), F.col("comp").alias("pc")), "pivot").select("pivot", "doc", "comp", (F.col("comp") != F.col("pc")).alias("rest"))
+    open_ones = both.groupBy("pivot").agg(F.max("rest").alias("any"), F.count("*").alias("n")).filter("any and n > 1").select("pivot")
+    both = checkpointed(both.join(open_ones, "pivot"))
+    if not both.isEmpty():
+        verify(left_over(both, held, rules.similarity))
     degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
     of_class = base.groupBy("cls").agg(F.min("doc_id").alias("doc")).join(label, "doc", "left").join(degree, "doc", "left").select("cls", F.coalesce("comp", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     worded = base.select("doc_id", "cls").join(of_class, "cls").select("doc_id", "class_id", "n_links")
