@@ -78,6 +78,32 @@ def test_near_classes_are_those_of_all_pairs(spark, odd_rows):
     assert minhash.near_classes(table(spark, [])).count() == 0
 
 
+def test_left_over_misses_no_near_pair(spark):
+    """Around one original, every pair at the threshold with a document outside the original's component comes up."""
+    rng = np.random.default_rng(21)
+    base = rng.choice(2**32, 120, replace=False)
+    docs = {0: base}
+    for i in range(1, 40):
+        keep = rng.random(120) > rng.choice([0.02, 0.1, 0.2, 0.3])
+        docs[i] = np.concatenate([base[keep], rng.choice(2**32, int(rng.choice([0, 5, 20, 40])), replace=False)])
+    for i in range(40, 60):  # near others than the original
+        other = docs[int(rng.integers(1, 40))]
+        docs[i] = np.concatenate([other[rng.random(len(other)) > 0.05], rng.choice(2**32, 4, replace=False)])
+    docs = {i: np.unique(x).astype("<u4") for i, x in docs.items()}
+
+    def near(a, b):
+        n = len(np.intersect1d(docs[a], docs[b]))
+        return n >= 0.8 * (len(docs[a]) + len(docs[b]) - n) - 1e-9
+
+    comp = {i: 0 if near(i, 0) else i for i in docs}
+    pairs = spark.createDataFrame([(0, i, comp[i], comp[i] != 0) for i in docs if i], "pivot long, doc long, comp long, rest boolean")
+    held = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in docs.items()], "doc_id long, print binary")
+    got = {tuple(sorted((r.a, r.b))) for r in minhash.left_over(pairs, held, 0.8).collect()}
+    want = {(a, b) for a in docs for b in docs if 0 < a < b and comp[a] != comp[b] and near(a, b)}
+    assert want and want <= got
+    assert len(got) < len(docs) * (len(docs) - 1) / 8
+
+
 def test_multiplicities_count(spark):
     """Equal sets of shingles with other multiplicities aren't near."""
     one, many = "a b c d e f g h", "a b c d e f g h " * 6
