@@ -11,7 +11,6 @@ string); very long texts are scanned whole; repeated rows repeat their results;
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
