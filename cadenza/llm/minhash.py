@@ -166,12 +166,15 @@ def overlap(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
+_MASKS = ("m0", "m1", "m2", "m3")
+
+
 def prefixes(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """For (pivot, doc, comp, rest) the first elements of each document in its pivot's order, with their places, the document's size and how many of its elements the pivot lacks: (pivot, token, doc, comp, rest, size, own, place)."""
+    """For (pivot, doc, comp, rest) the first elements of each document in its pivot's order, with their places, the document's size and how many of its elements the pivot lacks, and which of 256 classes these fall in: (pivot, token, doc, comp, rest, size, own, m0 .. m3, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, sizes, own = [], [], []
+            tokens, sizes, own, masks = [], [], [], []
             for p, q in zip(column(batch, "pd"), column(batch, "pp"), strict=True):
                 p, q = np.frombuffer(p.as_buffer(), "<u4"), np.frombuffer(q.as_buffer(), "<u4")
                 shared = np.isin(p, q)
@@ -179,29 +182,34 @@ def prefixes(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
                 tokens.append(np.concatenate([p[~shared], p[shared]])[: len(p) - need + 1].astype(np.int64))
                 sizes.append(len(p))
                 own.append(len(p) - int(shared.sum()))
+                bits = np.zeros(256, np.uint8)
+                bits[p[~shared] & 255] = 1
+                masks.append(np.packbits(bits).view(np.int64))
             n = np.array([len(t) for t in tokens], np.int64)
             row = pa.array(np.repeat(np.arange(len(n)), n))
             place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             yield pa.RecordBatch.from_arrays(
-                [*(column(batch, c).take(row) for c in ("pivot", "doc", "comp", "rest")), pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])), *(pa.array(np.repeat(np.array(c, np.int32), n)) for c in (sizes, own)), pa.array(place.astype(np.int32))],
-                names=["pivot", "doc", "comp", "rest", "token", "size", "own", "place"],
+                [*(column(batch, c).take(row) for c in ("pivot", "doc", "comp", "rest")), pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])), *(pa.array(np.repeat(np.array(c, np.int32), n)) for c in (sizes, own)), *(pa.array(np.repeat(np.array([m[j] for m in masks], np.int64), n)) for j in range(4)), pa.array(place.astype(np.int32))],
+                names=["pivot", "doc", "comp", "rest", "token", "size", "own", *_MASKS, "place"],
             )
 
     d = held.select(F.col("doc_id").alias("doc"), F.col("print").alias("pd"))
     p = held.select(F.col("doc_id").alias("pivot"), F.col("print").alias("pp"))
     rows = pairs.join(d, "doc").join(p, "pivot").select("pivot", "doc", "comp", "rest", "pd", "pp")
-    return rows.mapInArrow(run, "pivot long, doc long, comp long, rest boolean, token long, size int, own int, place int")
+    return rows.mapInArrow(run, "pivot long, doc long, comp long, rest boolean, token long, size int, own int, m0 long, m1 long, m2 long, m3 long, place int")
 
 
 def left_over(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     """(a, b): the pairs of one pivot, of different components, one of them at least outside the pivot's, that may reach the threshold."""
     rows = checkpointed(prefixes(pairs, held, similarity))
-    x, y = (rows.select("pivot", "token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "comp", "rest", "size", "own", "place"))) for k in ("a", "b"))
+    x, y = (rows.select("pivot", "token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "comp", "rest", "size", "own", *_MASKS, "place"))) for k in ("a", "b"))
     # |shared| >= s / (1 + s) * (|a| + |b|); from the first shared element on at most what is left of those the pivot lacks
     # and of those it has, each by the document that has less
     least = lambda f: F.least(f("a"), f("b"))
     col = lambda c, k: F.col(f"{c}_{k}")
-    own = least(lambda k: col("own", k) - col("place", k)) + least(lambda k: col("size", k) - col("own", k))
+    # an element of a class that the other has none of isn't shared
+    alone = lambda k, o: sum(F.bit_count(col(m, k).bitwiseAND(F.bitwise_not(col(m, o)))) for m in _MASKS)
+    own = F.least(*(col("own", k) - x for k, o in ("ab", "ba") for x in (col("place", k), alone(k, o)))) + least(lambda k: col("size", k) - col("own", k))
     most = F.when(F.col("place_a") < F.col("own_a"), own).otherwise(least(lambda k: col("size", k) - col("place", k)))
     enough = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-6) <= most
     once = ~F.col("rest_b") | (F.col("doc_a") < F.col("doc_b"))
