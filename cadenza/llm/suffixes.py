@@ -11,9 +11,9 @@ equal windows the one with the least (doc_id, place) is the first; a word goes o
 at a lesser place, so a copy of every passage is left.
 
 The neighbours of a gram are compared all together as long as there are ``block_rows`` of them at most.
-The suffixes of a hotter gram are range-partitioned by their words and ids too, so that they fill many
-partitions, and are compared in blocks of neighbours; successive blocks, and partitions, meet in their
-last and first suffix.
+A hotter gram's suffixes would fill one task; there every window of ``min_words`` words whose minimiser is
+hot gets a hash of its own, equal hashes are pre-aggregated to their least (doc_id, place) and joined back.
+Equal windows have equal minimisers, so either way meets all of them, whatever the partitions.
 
 Defined results for odd input: null and empty texts and texts of fewer than ``min_words`` words have no
 rows; rows without an id are left out; rows with equal ids count as one document; a document matches
@@ -45,13 +45,13 @@ class SuffixRules:
         return self.min_words - self.gram_words + 1
 
 
-def minimisers(h: np.ndarray, doc: np.ndarray, rules: SuffixRules) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (word indexes) of the least gram of each window inside a text, and the grams' hashes.  Of equal ones the last counts."""
+def window_minimisers(h: np.ndarray, doc: np.ndarray, rules: SuffixRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows of ``min_words`` words inside a text, the place of the least gram of each, and all grams' hashes.  Of equal ones the last counts."""
     grams, ok = ngram_hash(h, doc, rules.gram_words)
     w = rules.window
     n = len(h) - rules.min_words + 1
     if n <= 0:
-        return np.zeros(0, np.int64), grams[:0]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), grams
     inside = doc[:n] == doc[rules.min_words - 1 :]
     # least value of each window and its last place, by doubling
     best, at, size = grams.copy(), np.arange(len(grams)), 1
@@ -62,8 +62,14 @@ def minimisers(h: np.ndarray, doc: np.ndarray, rules: SuffixRules) -> tuple[np.n
         right = b <= a
         best, at = np.where(right, b, a), np.where(right, at[step:], at[:m])
         size += step
+    return np.flatnonzero(inside), at[:n][inside], grams
+
+
+def minimisers(h: np.ndarray, doc: np.ndarray, rules: SuffixRules) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (word indexes) of the least gram of each window inside a text, and the grams' hashes."""
+    _, at, grams = window_minimisers(h, doc, rules)
     chosen = np.zeros(len(h), bool)
-    chosen[at[:n][inside]] = True
+    chosen[at] = True
     pos = np.flatnonzero(chosen)
     return pos, grams[pos]
 
@@ -75,20 +81,64 @@ def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t.span_hash(starts, ends), doc, np.cumsum(counts) - counts
 
 
-def suffix_rows(docs: DataFrame, rules: SuffixRules) -> DataFrame:
-    """(gram, doc_id, pos) of every kept suffix."""
+def suffix_rows(docs: DataFrame, rules: SuffixRules, left_out=None) -> DataFrame:
+    """(gram, doc_id, pos) of every kept suffix, but for the broadcast, sorted grams ``left_out``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=2 * CHUNK_BYTES):
             h, doc, first = _words(batch)
             pos, gram = minimisers(h, doc, rules)
+            if left_out is not None and len(known := left_out.value):
+                keep = known[np.minimum(np.searchsorted(known, gram.view(np.int64)), len(known) - 1)] != gram.view(np.int64)
+                pos, gram = pos[keep], gram[keep]
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), column(batch, "doc_id").take(pa.array(doc[pos])), pa.array((pos - first[doc[pos]]).astype(np.int32))], names=["gram", "doc_id", "pos"])
 
     return docs.mapInArrow(run, "gram long, doc_id long, pos int")
 
 
+def hot_windows(docs: DataFrame, hot, rules: SuffixRules) -> DataFrame:
+    """(key, doc_id, start) of every window whose minimiser is one of the broadcast, sorted ``hot`` grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = hot.value
+        for batch in chunks(batches, limit=2 * CHUNK_BYTES):
+            h, doc, first = _words(batch)
+            start, at, grams = window_minimisers(h, doc, rules)
+            gram = grams[at].view(np.int64)
+            start = start[known[np.minimum(np.searchsorted(known, gram), len(known) - 1)] == gram]
+            key = ngram_hash(h, doc, rules.min_words)[0][start]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), column(batch, "doc_id").take(pa.array(doc[start])), pa.array((start - first[doc[start]]).astype(np.int32))], names=["key", "doc_id", "start"])
+
+    return docs.mapInArrow(run, "key long, doc_id long, start int")
+
+
+def hot_matches(docs: DataFrame, hot, rules: SuffixRules) -> DataFrame:
+    """(doc_id, start, end, first, other): windows with a hot minimiser that stand elsewhere too, joined by stretches of 32 starts."""
+    rows = hot_windows(docs, hot, rules)
+    place = F.struct("doc_id", "start")
+    firsts = rows.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b")
+    # written, so that Spark can split a hot window in the join
+    firsts = checkpointed(firsts.select("key", F.col("a.doc_id").alias("first_doc"), F.col("a.start").alias("first_start")))
+    # a text matches itself only without overlap
+    later = rows.join(firsts, "key").filter((F.col("doc_id") != F.col("first_doc")) | (F.col("start") - F.col("first_start") >= rules.min_words))
+    span = lambda doc, start, first, other: F.struct(F.col(doc).alias("doc_id"), F.col(start).alias("start"), F.lit(first).alias("first"), F.col(other).alias("other"))
+    both = later.select(F.inline(F.array(span("doc_id", "start", False, "first_doc"), span("first_doc", "first_start", True, "doc_id"))))
+    bit = F.expr("shiftleft(1L, start % 32)")
+    masks = both.groupBy("doc_id", "first", (F.col("start") / 32).cast("int").alias("stretch")).agg(F.bit_or(bit).alias("mask"), F.min("other").alias("other"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask, stretch = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("mask", "stretch"))
+            row, lo, hi = _runs((mask[:, None] >> np.arange(32) & 1).astype(bool))
+            at, base = pa.array(row), stretch[row] * 32
+            ends = [pa.array(x.astype(np.int32)) for x in (base + lo, base + hi - 1 + rules.min_words)]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(at), *ends, column(batch, "first").take(at), column(batch, "other").take(at)], names=["doc_id", "start", "end", "first", "other"])
+
+    return masks.mapInArrow(run, _SPAN)
+
+
 def contexts(held: DataFrame, rules: SuffixRules) -> DataFrame:
-    """(gram, after, before, doc_id, pos, hot): the words after each gram, and before it from the nearest on, as 32-bit prints in bytes."""
+    """(gram, after, before, doc_id, pos): the words after each gram, and before it from the nearest on, as 32-bit prints in bytes."""
     k, w = rules.gram_words, rules.min_words - rules.gram_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,11 +146,10 @@ def contexts(held: DataFrame, rules: SuffixRules) -> DataFrame:
             h, doc, first = _words(batch)
             lists = column(batch, "at")
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            at = lists.flatten()
-            pos, hot = (at.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "hot"))
+            pos = lists.flatten().to_numpy(zero_copy_only=False)
             size = np.bincount(doc, minlength=batch.num_rows)
             fits = (pos >= 0) & (pos + k <= size[row])
-            row, pos, hot = row[fits], pos[fits], hot[fits].astype(bool)
+            row, pos = row[fits], pos[fits]
             at = first[row] + pos
             gram, _ = ngram_hash(h, doc, k)
             prints = (h >> np.uint64(32)).astype("<u4")
@@ -111,11 +160,11 @@ def contexts(held: DataFrame, rules: SuffixRules) -> DataFrame:
             fb = prints[np.clip(before, 0, len(h) - 1)][step < rb[:, None]]
             blob = lambda flat, n: pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n * 4)]).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[at].view(np.int64)), blob(fa, ra), blob(fb, rb), column(batch, "doc_id").take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(hot)],
-                names=["gram", "after", "before", "doc_id", "pos", "hot"],
+                [pa.array(gram[at].view(np.int64)), blob(fa, ra), blob(fb, rb), column(batch, "doc_id").take(pa.array(row)), pa.array(pos.astype(np.int32))],
+                names=["gram", "after", "before", "doc_id", "pos"],
             )
 
-    return held.mapInArrow(run, "gram long, after binary, before binary, doc_id long, pos int, hot boolean")
+    return held.mapInArrow(run, "gram long, after binary, before binary, doc_id long, pos int")
 
 
 def _prefixes(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +176,13 @@ def _prefixes(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array([len(x) // 4 for x in blobs])
 
 
+def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of every run of True in the rows."""
+    edge = np.diff(flags.astype(np.int8), axis=1, prepend=0, append=0)
+    (row, lo), (_, hi) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    return row, lo, hi
+
+
 def matches(gram, after, before, doc, pos, rules: SuffixRules) -> list[tuple[int, int, int, bool, int]]:
     """Spans (doc, start, end, first, other): the windows of ``min_words`` words around each gram that another of the rows has, joined."""
     n, rest = len(gram), rules.min_words - rules.gram_words
@@ -155,61 +211,38 @@ def matches(gram, after, before, doc, pos, rules: SuffixRules) -> list[tuple[int
         np.minimum.at(other, theirs, doc[mine])
     out = []
     for flags, is_first in ((first, True), (later, False)):
-        edge = np.diff(flags[:, : rest + 1].astype(np.int8), axis=1, prepend=0, append=0)
-        (row, lo), (_, hi) = np.nonzero(edge == 1), np.nonzero(edge == -1)  # runs of windows: left from lo to hi - 1
+        row, lo, hi = _runs(flags[:, : rest + 1])  # runs of windows: left from lo to hi - 1
         start, end = pos[row] - (hi - 1), pos[row] - lo + rules.min_words
         out += zip(doc[row].tolist(), start.tolist(), end.tolist(), [is_first] * len(row), other[row].tolist(), strict=True)
     return out
 
 
-_ROW = "doc_id long, start int, end int, first boolean, other long, part int, gram long, after binary, before binary, pos int, edge int"
-
-
 _COLUMNS = ("gram", "after", "before", "doc_id", "pos")
+_SPAN = "doc_id long, start int, end int, first boolean, other long"
 
 
 def neighbours(ordered: DataFrame, rules: SuffixRules) -> DataFrame:
-    """Matches inside each partition, and its first and last suffix as rows with ``edge`` 0 and 1."""
+    """Matches inside each partition, which holds all suffixes of its grams, one gram after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.bool_()), ("other", pa.int64()), ("part", pa.int32()), ("gram", pa.int64()), ("after", pa.binary()), ("before", pa.binary()), ("pos", pa.int32()), ("edge", pa.int32())])
-
-        def edge(row, which):
-            return pa.RecordBatch.from_pylist([{"doc_id": row[3], "part": part, "gram": row[0], "after": row[1], "before": row[2], "pos": row[4], "edge": which}], schema=schema)
-
         def found(cols):
             spans = matches(np.array(cols[0]), cols[1], cols[2], np.array(cols[3]), np.array(cols[4]), rules) if cols[0] else []
             if spans:
                 d, s, e, f, o = zip(*spans, strict=True)
-                blank = [pa.nulls(len(d), t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(f), pa.array(o, pa.int64()), *blank], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(f), pa.array(o, pa.int64())], names=["doc_id", "start", "end", "first", "other"])
 
         held: list[list] = [[] for _ in _COLUMNS]
-        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [column(batch, c).to_pylist() for c in _COLUMNS]
-            if last is None:
-                yield edge([c[0] for c in cols], 0)
-            last = [c[-1] for c in cols]
-            held = [a + b for a, b in zip(held, cols, strict=True)]
-            # the last gram may go on in the next batch; one with more rows than a block is taken as it comes
+            held = [a + column(batch, c).to_pylist() for a, c in zip(held, _COLUMNS, strict=True)]
+            # the last gram may go on in the next batch
             cut = int(np.searchsorted(np.array(held[0]), held[0][-1]))
-            if len(held[0]) - cut > rules.block_rows:
-                yield from found(held)
-                held = [c[-1:] for c in held]
-            else:
-                yield from found([c[:cut] for c in held])
-                held = [c[cut:] for c in held]
+            yield from found([c[:cut] for c in held])
+            held = [c[cut:] for c in held]
         yield from found(held)
-        if last is not None:
-            yield edge(last, 1)
 
-    return ordered.mapInArrow(run, _ROW)
+    return ordered.mapInArrow(run, _SPAN)
 
 
 def matched(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
@@ -218,24 +251,16 @@ def matched(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
     rows = suffix_rows(docs, rules)
     twice = rows.groupBy("gram").agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.max(F.struct("doc_id", "pos")).alias("b"), F.count("*").alias("n")).filter("a <> b")
-    # written, so that the join has a shuffle of its own on either side and Spark can split a hot gram
+    # written, so that the join has a shuffle of its own on either side and Spark can split a common gram
     twice = checkpointed(twice.select("gram", (F.col("n") > rules.block_rows).alias("hot")))
-    places = checkpointed(rows.join(twice, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "hot")).alias("at")))
+    # 8 bytes for each ``block_rows`` suffixes of the corpus at most
+    hot = np.sort(twice.filter("hot").select("gram").toArrow()["gram"].to_numpy())
+    known = spark.sparkContext.broadcast(hot)
+    places = checkpointed(suffix_rows(docs, rules, known).join(twice.filter("not hot"), "gram").groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
     held = docs.join(places, "doc_id")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    within = [F.when(F.col("hot"), F.col(c)) for c in ("after", "before", "doc_id", "pos")]
-    ordered = contexts(held, rules).repartitionByRange(parts, "gram", *within).sortWithinPartitions(*_COLUMNS)
-    found = checkpointed(neighbours(ordered, rules))
-    # two rows for each partition come to the driver, to close the seams between neighbouring partitions
-    edges = found.filter("edge is not null").select("part", "edge", "gram", "after", "before", "doc_id", "pos").orderBy("part", "edge").collect()
-    seams = []
-    for a, b in zip(edges, edges[1:], strict=False):
-        if a["edge"] == 1 and b["edge"] == 0:
-            seams += matches(np.array([a["gram"], b["gram"]]), [bytes(a["after"]), bytes(b["after"])], [bytes(a["before"]), bytes(b["before"])], np.array([a["doc_id"], b["doc_id"]]), np.array([a["pos"], b["pos"]]), rules)
-    schema = "doc_id long, start int, end int, first boolean, other long"
-    seams = spark.createDataFrame([(int(d), int(s), int(e), bool(f), int(o)) for d, s, e, f, o in seams], schema)
-    spans = found.filter("edge is null").select("doc_id", "start", "end", "first", "other").union(seams)
-    return spans
+    found = neighbours(contexts(held, rules).repartitionByRange(parts, "gram").sortWithinPartitions("gram"), rules)
+    return found.union(hot_matches(docs, known, rules)) if len(hot) else found
 
 
 def _joined(spans) -> list[list[int]]:

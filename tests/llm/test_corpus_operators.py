@@ -273,6 +273,23 @@ def test_suffix_repeats_cover_all_shared_runs(spark, odd_rows):
     assert suffixes.repeats(table(spark, [])).count() == 0
 
 
+def test_hot_grams_miss_no_shared_run(spark):
+    """Texts that share what stands before a hot line, but not what follows, in any number of partitions."""
+    rng = random.Random(21)
+    line, lead = words(rng, 24, 5000), [words(rng, 40, 5000) for _ in range(10)]
+    rows = [(i, " ".join(words(rng, 30, 5000) + lead[i % 10] + line + words(rng, 40, 5000)), "en", "s") for i in range(60)]
+    want = matched_words(rows)
+    assert len(want) == 60
+    for parts in ("3", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {r.doc_id: r for r in suffixes.repeats(table(spark, rows), suffixes.SuffixRules(block_rows=4)).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert {i: places(r.repeated) for i, r in got.items()} == want
+        assert {i for i, r in got.items() if not places(r.removable)} == set(range(10))  # the first text of each lead keeps the passage
+
+
 def test_removable_spans_leave_a_copy(spark):
     """Whatever is removed, every shared run stays somewhere."""
     rows = [(i, t, x, s) for i, t, x, s in copies(11)]
