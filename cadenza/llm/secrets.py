@@ -52,9 +52,6 @@ class NoveltyRules:
     min_chars: int = 16
     #: Marginal compressed bytes for each byte of the candidate.
     min_ratio: float = 0.7
-    #: Distinct characters and digits, so that long plain words stay out.
-    min_distinct: int = 8
-    min_digits: int = 2
 
 
 class Novelty:
@@ -74,10 +71,7 @@ class Novelty:
         rules, out = self.rules, []
         for m in _RUN.finditer(text):
             s, e = m.span()
-            run = m.group()
-            if e - s < rules.min_chars or len(set(run)) < rules.min_distinct or sum(c.isdigit() for c in run) < rules.min_digits:
-                continue
-            if _SENSITIVE.search(text, max(0, s - rules.reach), s) and self.ratio(text, s, e) >= rules.min_ratio:
+            if e - s >= rules.min_chars and _SENSITIVE.search(text, max(0, s - rules.reach), s) and self.ratio(text, s, e) >= rules.min_ratio:
                 out.append((s, e))
         return out
 

@@ -123,6 +123,18 @@ def test_secret_spans(spark, odd_rows):
     assert by_id[1].spans == ""
 
 
+def test_keys_without_digits_are_novel():
+    """Compressed size decides, not what characters a key is made of."""
+    rng, novelty = random.Random(31), secrets.Novelty(secrets.NoveltyRules())
+    for alphabet in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        for n in (16, 20, 32, 64):
+            for _ in range(20):
+                key = "".join(rng.choices(alphabet, k=n))
+                text = f"Authorization: Bearer {key} end"
+                assert (22, 22 + n) in novelty.spans(text)
+    assert not novelty.spans("auth: access_token_access_token_access_token")
+
+
 def test_redaction(spark):
     rows = [(i, t, "en", "s") for i, t in enumerate(SECRETS)] + [(50, None, None, None), (51, "clean", "en", "s")]
     df = table(spark, rows, clashes=True)
