@@ -3,7 +3,8 @@
 The patterns give the base spans.  The method adds candidates: runs of key-like characters that stand
 shortly after a sensitive word.  A candidate's novelty is its marginal cost, the compressed size of
 context and candidate less that of the context alone, with a dictionary of common identifiers loaded.
-Names and prose compress against dictionary and context; random key material doesn't, and is reported.
+The context is what surrounds the candidate, with copies of it blanked out.  Names and prose compress
+against dictionary and context; random key material doesn't, and is reported, wherever the text has it.
 
 Defined results for odd input: a null or empty text has no spans (the digest is that of the empty
 string); very long texts are scanned whole; repeated rows repeat their results; extra columns are ignored.
@@ -46,7 +47,7 @@ IDENTIFIERS = " ".join(
 @dataclass(frozen=True)
 class NoveltyRules:
     level: int = 3
-    #: Characters before a candidate that must hold a sensitive word, and that are its context.
+    #: Characters before a candidate that must hold a sensitive word, and those on either side that are its context.
     reach: int = 48
     context: int = 256
     min_chars: int = 16
@@ -63,17 +64,34 @@ class Novelty:
         self.size = lambda data, c=zstandard.ZstdCompressor(level=rules.level, dict_data=primed, write_content_size=False, write_checksum=False): len(c.compress(data))
 
     def ratio(self, text: str, start: int, end: int) -> float:
-        before = text[max(0, start - self.rules.context) : start].encode("utf-8", "replace")
-        candidate = text[start:end].encode("utf-8", "replace")
-        return (self.size(before + candidate) - self.size(before)) / max(1, len(candidate))
+        run, n = text[start:end], self.rules.context
+        # wide enough for copies that cross the edge; blanks keep the length
+        blank = lambda x: x.replace(run, " " * len(run))
+        before = blank(text[max(0, start - n - len(run)) : start])[-n:]
+        after = blank(text[end : end + n + len(run)])[:n]
+        context, candidate = f"{after} {before}".encode("utf-8", "replace"), run.encode("utf-8", "replace")
+        return (self.size(context + candidate) - self.size(context)) / max(1, len(candidate))
 
     def spans(self, text: str) -> list[tuple[int, int]]:
-        rules, out = self.rules, []
+        rules, novel = self.rules, set()
         for m in _RUN.finditer(text):
             s, e = m.span()
-            if e - s >= rules.min_chars and _SENSITIVE.search(text, max(0, s - rules.reach), s) and self.ratio(text, s, e) >= rules.min_ratio:
-                out.append((s, e))
-        return out
+            if e - s >= rules.min_chars and m.group() not in novel and _SENSITIVE.search(text, max(0, s - rules.reach), s) and self.ratio(text, s, e) >= rules.min_ratio:
+                novel.add(m.group())
+        return self.occurrences(text, novel)
+
+    def occurrences(self, text: str, strings: set[str]) -> list[tuple[int, int]]:
+        """Every place of the strings, also inside longer runs; they are found by their first ``min_chars`` characters."""
+        if not strings:
+            return []
+        k, heads = self.rules.min_chars, {}
+        for x in strings:
+            heads.setdefault(x[:k], set()).add(len(x))
+        out = []
+        for m in _RUN.finditer(text):
+            for s in range(m.start(), m.end() - k + 1):
+                out += [(s, s + n) for n in heads.get(text[s : s + k], ()) if text[s : s + n] in strings]
+        return sorted(out)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

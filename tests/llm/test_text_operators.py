@@ -135,6 +135,15 @@ def test_keys_without_digits_are_novel():
     assert not novelty.spans("auth: access_token_access_token_access_token")
 
 
+def test_copies_of_a_secret_are_secret_too(spark):
+    rng = random.Random(32)
+    keys = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n)) for n in (16, 20, 32, 64) for _ in range(10)]
+    rows = [(i, f"Authorization: Bearer {k} or Authorization: Bearer {k} and url=/{k}/x then {'words ' * 60}{k}", "en", "s") for i, k in enumerate(keys)]
+    df = table(spark, rows)
+    assert {r.doc_id: r.n_novel for r in secrets.digests(df).collect()} == {i: 4 for i in range(len(keys))}
+    assert not any(keys[r.doc_id] in r.text for r in secrets.redact(df).collect())
+
+
 def test_redaction(spark):
     rows = [(i, t, "en", "s") for i, t in enumerate(SECRETS)] + [(50, None, None, None), (51, "clean", "en", "s")]
     df = table(spark, rows, clashes=True)
