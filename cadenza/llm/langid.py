@@ -1,9 +1,10 @@
 """Language ID by string kernels.
 
 The blended-spectrum presence kernel of two texts is the cosine of their sets of character n-grams, all
-lengths together; the grams live in a fixed hashed space.  Nyström landmarks turn the kernel into
-explicit features, one-versus-rest kernel ridge regression gives each language a score, and whole
-batches of texts are scored by two matrix products.
+lengths together.  A long text holds nearly every gram, so texts are cut into even pieces of ``piece_bytes``
+at most, and the kernel of two texts is the mean over their pieces.  Grams are sparse 40-bit keys.  Nyström
+landmarks turn the kernel into explicit features and one-versus-rest kernel ridge regression gives each
+language a score; all of it is linear in the landmarks' grams, so a model is a table of weights by gram.
 
 The model is fitted on a bounded sample of labelled rows (``fit_per_lang`` for each language, chosen by
 a hash of the id); every row is scored.
@@ -31,8 +32,10 @@ from .vectext import LOWER, U, Texts
 class LanguageRules:
     min_gram: int = 1
     max_gram: int = 4
-    #: log2 of the hashed gram space.
-    bits: int = 13
+    #: log2 of the gram keys' space; a piece's number takes the other bits of a 64-bit word.
+    bits: int = 40
+    #: Longest piece of a text whose grams are taken together.
+    piece_bytes: int = 2048
     #: Labelled rows to fit on and landmarks, for each language; languages learned at most.
     fit_per_lang: int = 300
     landmarks_per_lang: int = 24
@@ -42,61 +45,107 @@ class LanguageRules:
     sharpness: float = 8.0
 
 
-def presence(col: pa.Array, rules: LanguageRules) -> np.ndarray:
-    """Unit-length rows of gram presence.  Grams are runs of bytes of the ASCII-lower-cased text with white space as one class and digits as another."""
+def presence(col: pa.Array, rules: LanguageRules) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, gram, weight) of the grams that texts have, for some pieces at a time; each piece has unit length over its text's number of pieces.
+
+    Grams are runs of bytes of the ASCII-lower-cased text with white space as one class and digits as another; one that crosses pieces is the earlier one's.
+    """
     t = Texts(col)
     folded = LOWER.copy()
     folded[[0x20, *range(0x09, 0x0E)]] = 0x20
     folded[0x30:0x3A] = 0x30
-    data = folded[t.bytes].astype(np.uint64)
-    doc = np.repeat(np.arange(t.n), np.diff(t.offsets))
-    out = np.zeros((t.n, 1 << rules.bits), np.float32)
-    code = np.zeros(len(data), np.uint64)
-    for n in range(1, rules.max_gram + 1):
-        if len(data) < n:
-            break
-        m = len(data) - n + 1
-        code = code[:m] * U(256) + data[n - 1 :]
-        if n < rules.min_gram:
-            continue
-        salt = U(n * 0x632BE59BD9B4E019 % 2**64)  # one gram space for all lengths
-        slot = (((code + salt) * U(0x9E3779B97F4A7C15)) >> U(64 - rules.bits)).astype(np.int64)
-        same = doc[:m] == doc[n - 1 :]
-        out[doc[:m][same], slot[same]] = 1.0
-    return out / np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
+    size = np.diff(t.offsets)
+    count = -(-size // rules.piece_bytes)
+    text = np.repeat(np.arange(t.n), count)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    begin = t.offsets[text] + size[text] * number // np.maximum(count[text], 1)
+    ends = np.append(begin[1:], len(t.bytes))
+    step = max(1, (1 << 19) // rules.piece_bytes)
+    p = 0
+    while p < len(begin):
+        q = min(len(begin), max(p + 1, int(np.searchsorted(ends, begin[p] + (1 << 19), side="right"))), p + 16 * step)
+        lo, hi = begin[p], ends[q - 1]
+        data = folded[t.bytes[lo : hi + rules.max_gram - 1]].astype(np.uint64)
+        piece = np.repeat(np.arange(q - p, dtype=np.uint64), ends[p:q] - begin[p:q])
+        left = np.repeat(t.offsets[text[p:q] + 1], ends[p:q] - begin[p:q]) - np.arange(lo, hi)  # bytes to the end of the text
+        keys, code = [], np.zeros(len(data), np.uint64)
+        for n in range(1, rules.max_gram + 1):
+            m = len(data) - n + 1
+            if m <= 0:
+                break
+            code = code[:m] * U(256) + data[n - 1 :]
+            if n < rules.min_gram:
+                continue
+            salt = U(n * 0x632BE59BD9B4E019 % 2**64)  # one gram space for all lengths
+            m = min(m, len(piece))
+            inside = left[:m] >= n
+            key = ((code[:m] + salt) * U(0x9E3779B97F4A7C15)) >> U(64 - rules.bits)
+            keys.append((key | piece[:m] << U(rules.bits))[inside])
+        held = np.sort(np.concatenate(keys))
+        held = held[np.append(True, held[1:] != held[:-1])] if len(held) else held
+        at = (held >> U(rules.bits)).astype(np.int64)
+        weight = 1 / (np.sqrt(np.maximum(np.bincount(at, minlength=q - p), 1)) * count[text[p:q]])
+        yield text[p:q][at], held & U((1 << rules.bits) - 1), weight[at]
+        p = q
+
+
+def applied(col: pa.Array, grams: np.ndarray, columns: np.ndarray, rules: LanguageRules) -> np.ndarray:
+    """Products of the texts' presence rows with ``columns``, which has a row for each of the sorted ``grams``."""
+    out = np.zeros((len(col), columns.shape[1]))
+    for text, gram, weight in presence(col, rules):
+        slot = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+        hit = grams[slot] == gram
+        text, slot, weight = text[hit], slot[hit], weight[hit]
+        for k in range(columns.shape[1]):
+            out[:, k] += np.bincount(text, weights=weight * columns[slot, k], minlength=len(col))
+    return out
 
 
 @dataclass
 class Model:
     langs: list[str]
-    landmarks: np.ndarray
+    #: The landmarks' grams, sorted, and a row of one-versus-rest weights for each.
+    grams: np.ndarray
     weights: np.ndarray
     rules: LanguageRules
 
+    def outputs(self, col: pa.Array) -> np.ndarray:
+        """One-versus-rest outputs: a row for each text, a column for each language."""
+        return applied(col, self.grams, self.weights, self.rules)
+
     def scores(self, col: pa.Array) -> np.ndarray:
-        """Softmax of the one-versus-rest outputs: a row for each text, a column for each language."""
-        kernel = presence(col, self.rules) @ self.landmarks.T
-        out = (kernel @ self.weights).astype(np.float64) * self.rules.sharpness
+        """Their softmax."""
+        out = self.outputs(col) * self.rules.sharpness
         out = np.exp(out - out.max(axis=1, keepdims=True))
         return out / out.sum(axis=1, keepdims=True)
 
 
 def solve(texts: list[str], langs: list[str], rules: LanguageRules) -> Model | None:
-    """Kernel ridge regression in Nyström features; the projection is folded into the weights."""
+    """Kernel ridge regression in Nyström features; projection and landmarks are folded into the weights."""
     names = sorted(set(langs))
     if not names:
         return None
     y = np.array([names.index(x) for x in langs])
     pick = np.concatenate([np.flatnonzero(y == k)[: rules.landmarks_per_lang] for k in range(len(names))])
-    x = np.concatenate([presence(pa.array(texts[i : i + 64]), rules) for i in range(0, len(texts), 64)])
-    z = x[pick]
-    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
+    parts = list(presence(pa.array([texts[i] for i in pick]), rules))
+    mark, gram, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    grams, slot = np.unique(gram, return_inverse=True)
+    # kernels with a few landmarks at a time, which bounds the dense columns
+    kernels = []
+    for k in range(0, len(pick), 32):
+        some = (mark >= k) & (mark < k + 32)
+        z = np.zeros((len(grams), min(32, len(pick) - k)))
+        np.add.at(z, (slot[some], mark[some] - k), weight[some])
+        kernels.append(applied(pa.array(texts), grams, z, rules))
+    x = np.concatenate(kernels, axis=1)
+    values, vectors = np.linalg.eigh(x[pick])
     top = values > 1e-6 * values.max()
     whiten = vectors[:, top] / np.sqrt(values[top])
-    phi = (x @ z.T) @ whiten
+    phi = x @ whiten
     target = np.where(y[:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
-    beta = np.linalg.solve(phi.T @ phi + rules.ridge * len(texts) * np.eye(phi.shape[1]), phi.T @ target)
-    return Model(names, z, (whiten @ beta).astype(np.float32), rules)
+    beta = whiten @ np.linalg.solve(phi.T @ phi + rules.ridge * len(texts) * np.eye(phi.shape[1]), phi.T @ target)
+    weights = np.stack([np.bincount(slot, weights=weight * beta[mark, k], minlength=len(grams)) for k in range(len(names))], axis=1)
+    return Model(names, grams, weights, rules)
 
 
 def fit(labelled: DataFrame, rules: LanguageRules = LanguageRules()) -> Model | None:
@@ -130,7 +179,7 @@ def predict(docs: DataFrame, model: Model | None, rules: LanguageRules = Languag
             col = column(batch, "text")
             letters = column(batch, "has_letter").to_numpy(zero_copy_only=False).astype(bool)
             names, score = np.full(n, "und", object), np.zeros(n)
-            for s in range(0, n, 256):  # the dense rows of a slice bound the memory
+            for s in range(0, n, 256):
                 if model is None:
                     break
                 got = model.scores(col.slice(s, 256))

@@ -246,6 +246,38 @@ def test_language_id(spark, odd_rows):
         assert (got[i].lang_pred == "und") == (not any(c.isalpha() for c in t or ""))
 
 
+def test_long_and_mixed_texts_keep_their_language():
+    """Texts of 100 KB to 1 MB, clean and with random words, are known as short ones are."""
+    rng = random.Random(33)
+    rows = languages(180)
+    model = langid.solve([t for _, t, _, _ in rows], [x for _, _, x, _ in rows], langid.LanguageRules())
+    chars = "abcdefghijklmnopqrstuvwxyz0123456789"
+    for size, share in ((100_000, 0.0), (100_000, 0.3), (1_000_000, 0.1)):
+        for lang in ("en", "de", "fr"):
+            own = [w for _, t, x, _ in rows if x == lang for w in t.split()]
+            text = " ".join("".join(rng.choices(chars, k=8)) if rng.random() < share else rng.choice(own) for _ in range(size // 8))
+            got = model.scores(pa.array([text]))[0]
+            assert model.langs[got.argmax()] == lang and got.max() > 0.9
+
+
+def test_pieces_hold_all_grams_of_a_text():
+    """The mean over pieces against plain sets of byte runs."""
+    rules = langid.LanguageRules(piece_bytes=7)
+    texts = ["abcdefghij klm 12", None, "", "xyz", "aaaaaaaaaaaaaaaaaaaaaa"]
+    got: dict = {}
+    for text, gram, weight in langid.presence(pa.array(texts), rules):
+        for k, g, w in zip(text.tolist(), gram.tolist(), weight.tolist(), strict=True):
+            got.setdefault(k, []).append(round(w, 9))
+    for k, x in enumerate(texts):
+        b = re.sub(rb"[0-9]", b"0", (x or "").encode())
+        n, want = -(-len(b) // 7), []
+        for p in range(n):
+            lo, hi = len(b) * p // n, len(b) * (p + 1) // n
+            grams = {b[i : i + m] for i in range(lo, hi) for m in range(1, 5) if i + m <= len(b)}
+            want += [round(1 / (len(grams) ** 0.5 * n), 9)] * len(grams)
+        assert sorted(got.get(k, [])) == sorted(want)
+
+
 def test_language_id_uses_only_what_it_may(spark):
     """Labels of held-out rows, and sources, don't matter."""
     rows = languages(80)
