@@ -107,8 +107,17 @@ class Model:
     #: The landmarks' grams, sorted, and a row of one-versus-rest weights for each.
     grams: np.ndarray
     weights: np.ndarray
+    #: 1 where a language's landmarks have the gram.
+    known: np.ndarray
     rules: LanguageRules
 
+    def covered(self, col: pa.Array) -> np.ndarray:
+        """The largest share, from 0 to 1, of each text's grams that the landmarks of one language have."""
+        total = np.zeros(len(col))
+        for text, _, weight in presence(col, self.rules):
+            total += np.bincount(text, weights=weight, minlength=len(col))
+        return applied(col, self.grams, self.known, self.rules).max(axis=1) / np.where(total > 0, total, 1)
+
     def outputs(self, col: pa.Array) -> np.ndarray:
         """One-versus-rest outputs: a row for each text, a column for each language."""
         return applied(col, self.grams, self.weights, self.rules)
@@ -145,7 +154,9 @@ def solve(texts: list[str], langs: list[str], rules: LanguageRules) -> Model | N
     target = np.where(y[:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
     beta = whiten @ np.linalg.solve(phi.T @ phi + rules.ridge * len(texts) * np.eye(phi.shape[1]), phi.T @ target)
     weights = np.stack([np.bincount(slot, weights=weight * beta[mark, k], minlength=len(grams)) for k in range(len(names))], axis=1)
-    return Model(names, grams, weights, rules)
+    known = np.zeros(weights.shape)
+    known[slot, y[pick][mark]] = 1.0
+    return Model(names, grams, weights, known, rules)
 
 
 def fit(labelled: DataFrame, rules: LanguageRules = LanguageRules()) -> Model | None:
@@ -198,8 +209,8 @@ def classify(docs: DataFrame, rules: LanguageRules = LanguageRules(), hold_modul
     return predict(docs, model, rules).select("doc_id", held_out(F.col("doc_id"), hold_modulus).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, rules: LanguageRules = LanguageRules(), min_score: float = 0.27, hold_modulus: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose language is known: neither ``und`` nor below ``min_score``.  All columns stay as they are."""
+def accepted(docs: DataFrame, rules: LanguageRules = LanguageRules(), min_known: float = 0.5, hold_modulus: int = 4) -> DataFrame:
+    """The rows of ``docs`` whose language is known: not ``und``, and ``min_known`` of their grams are those of one language, however many there are.  All columns stay as they are."""
     model = fit(docs.filter(~held_out(F.col("doc_id"), hold_modulus)), rules)
     schema = docs.schema
 
@@ -209,7 +220,7 @@ def accepted(docs: DataFrame, rules: LanguageRules = LanguageRules(), min_score:
             good = np.zeros(batch.num_rows, bool)
             for s in range(0, batch.num_rows, 256):
                 if model is not None:
-                    good[s : s + 256] = model.scores(column(batch, "text").slice(s, 256)).max(axis=1) >= min_score
+                    good[s : s + 256] = model.covered(column(batch, "text").slice(s, 256)) >= min_known
             yield batch.drop_columns(["__letter"]).filter(pa.array(good & flags))
 
     has = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))

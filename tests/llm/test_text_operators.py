@@ -300,6 +300,14 @@ def test_accepted_languages_keep_rows_whole(spark):
     assert {r.doc_id for r in out.collect()} == set(range(60))
 
 
+@pytest.mark.parametrize("known", [("en", "de"), ("en", "de", "fr")])
+def test_unknown_languages_are_not_accepted(spark, known):
+    rows = [r for r in languages(120) if r[2] in known]
+    foreign = ["Сегодня прекрасный день и мы идём на пляж", "今日はとても良い天気なので海へ泳ぎに行きます", "Dzisiaj jest piękny dzień i będziemy pływać", "xkq zzvw qpfj " * 30]
+    df = table(spark, rows + [(900 + i, x, None, "s") for i, x in enumerate(foreign)])
+    assert {r.doc_id for r in langid.accepted(df).collect()} == {r[0] for r in rows}
+
+
 def test_rollup_deltas(spark, tmp_path):
     r = rollups.Rollup(spark, f"file://{tmp_path}/r")
     cols = "doc_id long, op string, source string, lang string, tokenizer string, n_tokens long"
