@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..folders import new_folder
 from ..operators import waveform
 from ..sources import container
 from ..sources import surrogates as S
@@ -27,12 +25,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _shared(spark, name: str) -> str:
-    """A new folder below the one that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="cadenza-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def _containers(spark, sf_dir):
     x = S.user_samples(spark, sf_dir)
     total = waveform.totals(x)
@@ -62,7 +54,7 @@ def stream_overview(spark, sf_dir):
     schema = S.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*")
     x = stream.select(F.lit("e").alias("track_id"), F.col("event_id").alias("frame"), S.clamp(F.col("value") / 100.0 - 1.0).alias("x"))
-    root = _shared(spark, "stream")
+    root = new_folder(spark, "stream")
     progressive.accumulate(x, f"{root}/parts", 64, f"{root}/checkpoint").awaitTermination()
     return progressive.snapshot(spark, f"{root}/parts", 64, waveform.totals(S.event_samples(spark, sf_dir)))
 
@@ -73,7 +65,7 @@ def late_rejects(spark, sf_dir):
     schema = S.table(spark, sf_dir, "orders").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parquet*")
     blocks = stream.select((F.col("o_custkey") % 97).cast("string").alias("track_id"), (F.col("o_custkey") * 64).alias("first_frame"), (F.lit(1000) + F.col("o_orderkey") % 3000).alias("frame_count"), F.col("o_orderkey").alias("serial"))
-    root = _shared(spark, "late")
+    root = new_folder(spark, "late")
     out = progressive.accepted_blocks(blocks).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append")
     out.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out")
