@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import new_folder, shared_folder
+
 #: Bytes of text that a Python step takes into its arrays at once; one longer text is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes of a batch that Spark hands to Python, where a session leaves that to Spark.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it; only where a session leaves that unset (local tests) does a
-    temporary folder stand in.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cadenza-"))
-    return sc.getCheckpointDir()
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold what Spark hands to Python at once to ``BATCH_BYTES``, unless the session's configuration says otherwise."""
+    if spark.sparkContext.getConf().get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -35,6 +36,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to a folder of its own in the shared one and read it again."""
+    at = new_folder(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def held_out(doc_id, modulus: int):
     """True where crc32 of the id's decimal text leaves remainder 2; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == 2, F.lit(False))
@@ -43,22 +51,13 @@ def held_out(doc_id, modulus: int):
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the incoming batches with about ``limit`` bytes of ``text`` each, one row at least."""
     for batch in batches:
-        col = batch.column(batch.schema.get_field_index(text))
-        sizes = col.nbytes
-        if not batch.num_rows:
-            continue
-        if sizes <= limit:
-            yield batch
-            continue
-        import numpy as np
-        import pyarrow.compute as pc
-
-        lengths = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype("int64"))
+        lengths = np.cumsum(pc.fill_null(pc.binary_length(column(batch, text)), 0).to_numpy(zero_copy_only=False).astype("int64"))
         start, base = 0, 0
         while start < batch.num_rows:
             end = max(start + 1, int(np.searchsorted(lengths, base + limit, side="right")))
             yield batch.slice(start, end - start)
             start, base = end, int(lengths[end - 1])
+        pa.default_memory_pool().release_unused()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

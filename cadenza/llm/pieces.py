@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _BASE = U(0x9E3779B97F4A7C15)
 #: Cells of a block's lattice tables.
-_CELLS = 1 << 21
+_CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -246,7 +246,7 @@ class Pieces:
 
 def _ids(batches: Iterator[pa.RecordBatch], rules: SamplingRules):
     pieces = Pieces(rules)
-    for batch in chunks(batches, limit=4 * CHUNK_BYTES):
+    for batch in chunks(batches, limit=2 * CHUNK_BYTES):
         col = column(batch, "text")
         key = column(batch, "row_key").fill_null(0).to_numpy(zero_copy_only=False)
         flat, sizes = pieces.encode(pc.fill_null(col, ""), key, rules.seed)

@@ -16,7 +16,6 @@ there changes nothing; an inserted document that is there already is revised; ex
 from __future__ import annotations
 
 import base64
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import new_folder
 from .common import chunks, column
 from .vectext import Texts
 
@@ -130,9 +130,7 @@ def token_totals(docs: DataFrame, tokenizers: Tokenizers = Tokenizers(), root: s
     """Totals of ``docs`` through a rollup of its own in the shared folder: one batch inserts every document."""
     spark = docs.sparkSession
     if root is None:
-        from .common import shared_folder
-
-        root = f"{shared_folder(spark)}/token-rollup-{uuid.uuid4().hex}"
+        root = new_folder(spark, "token-rollup")
     rollup = Rollup(spark, root)
     rollup.commit("000001", count_tokens(docs, tokenizers).withColumn("op", F.lit("insert")))
     return rollup.totals()

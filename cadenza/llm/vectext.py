@@ -16,20 +16,31 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[int, np.ndarray] = {}
+#: Powers are made of two tables, of the low bits of an exponent and of the others, so what stays in memory is small.
+_LOW = 16
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _series(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n).bit_length())
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        have = np.cumprod(steps, dtype=np.uint64)
-        if size <= 1 << 23:
-            _powers[base] = have
-    return have[:n]
+    """base**0 .. base**(n-1) modulo 2**64."""
+    return powers_at(base, np.arange(n))
+
+
+def powers_at(base: int, exponents: np.ndarray) -> np.ndarray:
+    """base**e modulo 2**64 for each exponent."""
+    most = int(exponents.max(initial=0)) >> _LOW
+    low, high = _tables.get(base, (None, np.zeros(0, np.uint64)))
+    if low is None or len(high) <= most:
+        low = _series(base, 1 << _LOW)
+        high = _series(pow(base, 1 << _LOW, 1 << 64), max(16, 1 << most.bit_length()))
+        _tables[base] = low, high
+    return low[exponents & ((1 << _LOW) - 1)] * high[exponents >> _LOW]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,10 +89,11 @@ class Texts:
 
     def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if self._prefix is None:
-            terms = (self.bytes.astype(np.uint64) + U(1)) * powers(_R, len(self.bytes) + 1)[: len(self.bytes)]
+            terms = powers(_R, len(self.bytes))
+            terms *= self.bytes.astype(np.uint64) + U(1)
             self._prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
         p = self._prefix
-        return mix((p[ends] - p[starts]) * powers(_RINV, len(self.bytes) + 1)[starts])
+        return mix((p[ends] - p[starts]) * powers_at(_RINV, starts))
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Byte starts and ends of the words (runs of anything but ASCII white space) and the text each is in."""
