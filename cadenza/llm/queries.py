@@ -57,14 +57,13 @@ QUERIES = {
 }
 
 _RULES = quality.QualityRules()
-_COMMON = ", ".join(f"('{w}')" for w in sorted({w for words in quality.COMMON_WORDS.values() for w in words}))
 _CLASS = {"vowel": "[aeiou]", "consonant": "[b-df-hj-np-tv-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[\x09\x0B-\x0D\x1C-\x1F\x20]", "newline": r"\n", "stop": "[.,;:!?]", "symbol": "[#*$%&|<>]", "beyond_ascii": r"[^\x00-\x7F]"}
 _COUNTS = ", ".join(f"length(text) - length(regexp_replace(text, '{p}', '', 'g')) AS {c}" for c, p in _CLASS.items())
 _LOG = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0 END"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
-    # base figures; distances of normalised histograms from their language's mean, of the nearest language where it has none
+    # base figures; distances of normalised histograms from their language's mean, of classes from that of all where it has none
     "op1_quality_rules": f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
       w AS (SELECT rid, {_WORDS.format("text")} AS w FROM d), t AS (SELECT rid, generate_subscripts(w, 1) AS p, unnest(w) AS x FROM w),
       g AS (SELECT rid, p, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS g FROM t WINDOW o AS (PARTITION BY rid ORDER BY p)),
@@ -73,17 +72,20 @@ ORACLE_SQL: dict[str, str] = {
       ln AS (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM d), dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM ln WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
       b AS (SELECT d.rid, doc_id, lang, len(w.w) AS n_words, coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, length(text) AS chars, {_COUNTS} FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid)),
-      wide AS (UNPIVOT (SELECT rid, lang, n_words, chars, {", ".join(_CLASS)}, chars - ({" + ".join(_CLASS)}) AS mark FROM b) ON {", ".join(_CLASS)}, mark INTO NAME slot VALUE c),
-      cw AS (SELECT rid, x AS slot, count(*) AS c FROM (SELECT rid, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM t) WHERE x IN (SELECT column0 FROM (VALUES {_COMMON}) v(column0)) GROUP BY 1, 2),
-      h AS (SELECT rid, 'class' AS kind, slot, c / greatest(chars, 1)::DOUBLE AS p FROM wide UNION ALL SELECT rid, 'common', slot, c / n_words::DOUBLE FROM cw JOIN b USING (rid)
-        UNION ALL SELECT rid, 'common', ' other', (n_words - coalesce(s.c, 0)) / greatest(n_words, 1)::DOUBLE FROM b LEFT JOIN (SELECT rid, sum(c) AS c FROM cw GROUP BY 1) s USING (rid)),
       fit AS (SELECT rid, lang, count(*) OVER (PARTITION BY lang) AS n FROM b WHERE lang IS NOT NULL AND n_words >= {_RULES.min_words_for_common} AND chars >= {_RULES.min_chars_for_classes}),
-      ref AS (SELECT lang, kind, slot, sum(p) / any_value(n) AS q FROM h JOIN fit USING (rid) WHERE n >= {_RULES.min_reference_docs} GROUP BY 1, 2, 3),
-      every AS (SELECT rid, r.lang, k.kind, k.slot FROM b CROSS JOIN (SELECT DISTINCT lang FROM ref) r CROSS JOIN (SELECT DISTINCT kind, slot FROM h) k),
-      js AS (SELECT e.rid, e.lang, e.kind, sqrt(greatest(0, sum({_LOG.format("coalesce(p, 0)", "coalesce(q, 0)")} + {_LOG.format("coalesce(q, 0)", "coalesce(p, 0)")}) / 2)) AS d FROM every e
-        LEFT JOIN h ON h.rid = e.rid AND h.kind = e.kind AND h.slot = e.slot LEFT JOIN ref ON ref.lang = e.lang AND ref.kind = e.kind AND ref.slot = e.slot GROUP BY 1, 2, 3),
-      far AS (SELECT rid, lang, max(d) FILTER (kind = 'class') AS a, max(d) FILTER (kind = 'common') AS c FROM js GROUP BY 1, 2),
-      own AS (SELECT b.rid, far.a, far.c FROM b JOIN far USING (rid) QUALIFY row_number() OVER (PARTITION BY b.rid ORDER BY (far.lang IS NOT DISTINCT FROM b.lang) DESC, far.a + far.c, far.lang) = 1),
+      low AS (SELECT rid, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM t),
+      voc AS (SELECT lang, x FROM low JOIN fit USING (rid) WHERE n >= {_RULES.min_reference_docs} GROUP BY lang, x QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) <= {_RULES.common_words}),
+      k AS (SELECT b.*, v.lang AS key FROM b LEFT JOIN (SELECT DISTINCT lang FROM voc) v USING (lang)),
+      wide AS (UNPIVOT (SELECT rid, key, n_words, chars, {", ".join(_CLASS)}, chars - ({" + ".join(_CLASS)}) AS mark FROM k) ON {", ".join(_CLASS)}, mark INTO NAME slot VALUE c),
+      cw AS (SELECT rid, voc.x AS slot, count(*) AS c FROM low JOIN k USING (rid) JOIN voc ON voc.lang = k.key AND voc.x = low.x GROUP BY 1, 2),
+      h AS (SELECT rid, key, 'class' AS kind, slot, c / greatest(chars, 1)::DOUBLE AS p FROM wide UNION ALL SELECT rid, key, 'common', slot, c / n_words::DOUBLE FROM cw JOIN k USING (rid)
+        UNION ALL SELECT rid, key, 'common', ' other', (n_words - coalesce(s.c, 0)) / greatest(n_words, 1)::DOUBLE FROM k LEFT JOIN (SELECT rid, sum(c) AS c FROM cw GROUP BY 1) s USING (rid) WHERE key IS NOT NULL),
+      long AS (SELECT rid, lang FROM b WHERE n_words >= {_RULES.min_words_for_common} AND chars >= {_RULES.min_chars_for_classes}),
+      ref AS (SELECT key, kind, slot, sum(p) / (SELECT count(*) FROM long WHERE lang = key) AS q FROM h JOIN long USING (rid) WHERE key IS NOT NULL GROUP BY 1, 2, 3
+        UNION ALL SELECT NULL, kind, slot, sum(p) / (SELECT count(*) FROM long) FROM h JOIN long USING (rid) WHERE kind = 'class' GROUP BY 2, 3),
+      every AS (SELECT rid, kind, slot, q FROM k JOIN ref ON ref.key IS NOT DISTINCT FROM k.key),
+      js AS (SELECT e.rid, e.kind, sqrt(greatest(0, sum({_LOG.format("coalesce(p, 0)", "coalesce(q, 0)")} + {_LOG.format("coalesce(q, 0)", "coalesce(p, 0)")}) / 2)) AS d FROM every e LEFT JOIN h ON h.rid = e.rid AND h.kind = e.kind AND h.slot = e.slot GROUP BY 1, 2),
+      own AS (SELECT rid, max(d) FILTER (kind = 'class') AS a, max(d) FILTER (kind = 'common') AS c FROM js GROUP BY 1),
       v AS (SELECT b.*, n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.max_repeat_pct} * n_words AS base_failed,
         CASE WHEN chars >= {_RULES.min_chars_for_classes} THEN coalesce(a, 0) ELSE 0 END AS a, CASE WHEN n_words >= {_RULES.min_words_for_common} THEN coalesce(c, 0) ELSE 0 END AS c FROM b LEFT JOIN own USING (rid))
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND a <= {_RULES.max_class_distance} AND c <= {_RULES.max_common_distance} AS kept FROM v""",

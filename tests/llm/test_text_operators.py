@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -52,17 +53,30 @@ def test_quality_base(spark, odd_rows):
         assert not (r.base_failed and r.kept)
 
 
+def js(p, q) -> float:
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    kl = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+    return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+
 def test_quality_divergence(spark):
-    """Junk of one language stands out; the distance is the plain one."""
-    rng = random.Random(3)
-    good = [(i, " ".join(rng.choice(quality.COMMON_WORDS["en"]) if rng.random() < 0.4 else rng.choice("lorem ipsum dolor amet tempor magna".split()) for _ in range(150)) + ".", "en", "s") for i in range(40)]
-    bad = [(100, " ".join(f"#{rng.randrange(10**6)}|&" for _ in range(150)), "en", "s")]
-    got = {r.doc_id: r for r in quality.judge(table(spark, good + bad)).collect()}
-    assert all(got[i].kept for i in range(40)) and not got[100].kept and not got[100].base_failed
-    p, q = np.array([[3.0, 1.0]]), np.array([0.5, 0.5])
-    m = (p / 4 + q) / 2
-    js = 0.5 * ((p / 4) * np.log2(p / 4 / m)).sum() + 0.5 * (q * np.log2(q / m)).sum()
-    assert quality.js_distance(p, q)[0] == pytest.approx(js**0.5)
+    """Junk of one language stands out; distances are the plain ones, from common words that are counted."""
+    rng, rules = random.Random(3), quality.QualityRules(common_words=5)
+    frequent = "the of and to in a is that".split()
+    text = lambda share: " ".join(rng.choice(frequent) if rng.random() < share else rng.choice("lorem ipsum dolor amet tempor magna erat sed".split()) + rng.choice("abcdefgh") for _ in range(150))
+    rows = [(i, text(0.4) + ".", "en", "s") for i in range(40)] + [(100, " ".join(f"#{rng.randrange(10**6)}|&" for _ in range(150)), "en", "s"), (101, text(0.0), "en", "s")]
+    rows += [(200, text(0.4), "xx", "s"), (201, text(0.4), None, "s"), (202, None, "en", "s")]
+    got = {r.doc_id: r for r in quality.judge(table(spark, rows, clashes=True), rules).collect()}
+    assert all(got[i].kept for i in (*range(40), 200, 201)) and not any(got[i].kept for i in (100, 101)) and not got[100].base_failed
+    split = {i: re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split() for i, t, _, _ in rows}
+    own = [i for i, _, x, _ in rows if x == "en" and len(split[i]) >= 100]
+    counts = Counter(w for i in own for w in split[i])
+    common = sorted(counts, key=lambda w: (-counts[w], w))[:5]
+    part = {i: [split[i].count(w) / len(split[i]) for w in common] + [sum(w not in common for w in split[i]) / len(split[i])] for i in own}
+    mean = [sum(x) / len(own) for x in zip(*part.values(), strict=True)]
+    for i in own:
+        assert got[i].common_distance == pytest.approx(js(part[i], mean), abs=1e-9)
+    assert got[200].common_distance == got[201].common_distance == got[202].common_distance == 0 and got[200].class_distance > 0
 
 
 def test_quality_of_an_empty_table(spark):
