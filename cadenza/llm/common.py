@@ -60,5 +60,13 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         pa.default_memory_pool().release_unused()
 
 
+def free_name(stem: str, columns: list[str]) -> str:
+    """``stem``, with underscores after it until no column has that name in any case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))

@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, free_name
 
 BLOCKS, BLOCK_BITS, BLOCK_ERRORS = 4, 16, 3
 
@@ -110,5 +110,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules())
 
 def clean(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
     """``docs`` without the documents that hold an item.  All columns stay; rows without an id stay."""
-    found = leaks(docs, benchmark, rules).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("__leak"), "left_anti")
+    key = free_name("__leak", docs.columns)
+    found = leaks(docs, benchmark, rules).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(key), "left_anti")

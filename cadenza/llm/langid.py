@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column, held_out
+from .common import chunks, column, free_name, held_out
 from .vectext import LOWER, U, Texts
 
 
@@ -212,16 +212,16 @@ def classify(docs: DataFrame, rules: LanguageRules = LanguageRules(), hold_modul
 def accepted(docs: DataFrame, rules: LanguageRules = LanguageRules(), min_known: float = 0.5, hold_modulus: int = 4) -> DataFrame:
     """The rows of ``docs`` whose language is known: not ``und``, and ``min_known`` of their grams are those of one language, however many there are.  All columns stay as they are."""
     model = fit(docs.filter(~held_out(F.col("doc_id"), hold_modulus)), rules)
-    schema = docs.schema
+    schema, letter = docs.schema, free_name("__letter", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            flags = column(batch, "__letter").to_numpy(zero_copy_only=False).astype(bool)
+            flags = column(batch, letter).to_numpy(zero_copy_only=False).astype(bool)
             good = np.zeros(batch.num_rows, bool)
             for s in range(0, batch.num_rows, 256):
                 if model is not None:
                     good[s : s + 256] = model.covered(column(batch, "text").slice(s, 256)) >= min_known
-            yield batch.drop_columns(["__letter"]).filter(pa.array(good & flags))
+            yield batch.drop_columns([letter]).filter(pa.array(good & flags))
 
     has = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("__letter", has).mapInArrow(run, schema)
+    return docs.withColumn(letter, has).mapInArrow(run, schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, checkpointed, chunks, column
+from .common import CHUNK_BYTES, checkpointed, chunks, column, free_name
 from .components import components
 from .vectext import U, Texts, mix, ngram_hash, unit
 
@@ -269,5 +269,6 @@ def near_classes(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
 
 def one_of_each(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     """``docs`` without the documents whose class has a smaller id; rows without an id stay.  All columns stay as they are."""
-    gone = near_classes(docs, rules).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    key = free_name("__gone", docs.columns)
+    gone = near_classes(docs, rules).filter("doc_id <> class_id").select(F.col("doc_id").alias(key))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(key), "left_anti")

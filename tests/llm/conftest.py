@@ -8,7 +8,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators might use themselves.
-CLASHES = ("h", "pos", "size", "bucket", "gram", "c", "rid", "doc", "comp", "fp", "b", "w", "start", "ids")
+CLASHES = ("h", "pos", "size", "bucket", "gram", "c", "rid", "doc", "comp", "fp", "b", "w", "start", "ids", "__id", "__cut", "__leak", "__gone", "__letter", "key", "ref")
 
 
 def words(rng: random.Random, n: int, vocabulary: int = 400) -> list[str]:
