@@ -121,14 +121,16 @@ ORACLE_SQL: dict[str, str] = {
       e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM c x JOIN c y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN t p ON p.doc_id = x.doc_id JOIN t q ON q.doc_id = y.doc_id GROUP BY 1, 2 HAVING sum(least(x.c, y.c)) >= 0.8 * (any_value(p.t) + any_value(q.t) - sum(least(x.c, y.c))) - 1e-9),
       r AS (SELECT doc_id, doc_id AS class_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.class_id)
       SELECT doc_id, min(class_id) AS class_id FROM r GROUP BY 1""",
-    # sentences that a repeated run of at least three sentences and twenty words covers, but for its first place
+    # sentences that a repeated run of at least two sentences and twenty words covers, but for its first place
     "op7_sentence_spans": rf"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
       w AS (SELECT doc_id, line, generate_subscripts(v, 1) AS k, len(v) AS n, unnest(v) AS word FROM (SELECT doc_id, line, {_WORDS.format("t")} AS v FROM l)),
-      f AS (SELECT doc_id, word, row_number() OVER o - 1 AS pos, (k = n OR regexp_matches(word, '[.!?]$'))::INT AS stop FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY line, k)),
+      hard AS (SELECT doc_id, word, row_number() OVER o - 1 AS pos, (k = n OR regexp_matches(word, '[.!?]$'))::INT AS stop FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY line, k)),
+      run AS (SELECT *, sum(stop) OVER (PARTITION BY doc_id ORDER BY pos) - stop AS r FROM hard),
+      f AS (SELECT doc_id, word, pos, greatest(stop, (pos - min(pos) OVER (PARTITION BY doc_id, r) >= 24 AND (strlen(word) * 5 + ('0x' || left(hex(word), 2))::INT) % 8 = 0)::INT) AS stop FROM run),
       i AS (SELECT *, sum(stop) OVER (PARTITION BY doc_id ORDER BY pos) - stop AS s FROM f),
       a AS (SELECT doc_id, list(word ORDER BY pos) AS words FROM f GROUP BY 1),
       s AS (SELECT doc_id, s::BIGINT AS s, min(pos) AS first, max(pos) + 1 AS after FROM i GROUP BY 1, 2),
-      p AS (SELECT x.doc_id, x.s AS i, min(y.s) AS j, x.first, min(y.after) AS after FROM s x JOIN s y ON y.doc_id = x.doc_id AND y.s >= x.s + 2 AND y.after - x.first >= 20 GROUP BY x.doc_id, x.s, x.first),
+      p AS (SELECT x.doc_id, x.s AS i, min(y.s) AS j, x.first, min(y.after) AS after FROM s x JOIN s y ON y.doc_id = x.doc_id AND y.s >= x.s + 1 AND y.after - x.first >= 20 GROUP BY x.doc_id, x.s, x.first),
       k AS (SELECT p.*, md5(array_to_string(words[first + 1 : after], ' ')) AS key FROM p JOIN a USING (doc_id)),
       m AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(i) OVER o AS fi FROM k WINDOW o AS (PARTITION BY key ORDER BY doc_id, i)),
       r AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS s FROM m WHERE doc_id <> fd OR i <> fi),

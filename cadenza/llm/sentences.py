@@ -1,9 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends with a word that ends in ``.``, ``!`` or ``?``, or at a line break.  From every sentence
-starts one span: the shortest run of at least ``sentences`` sentences and ``min_words`` words.  Spans are
-hashed word by word (white space does not count) into 128 bits and joined globally; the first occurrence
-of a hash, by (doc_id, place), stays, and every sentence that any later occurrence covers is removed.
+A sentence ends with a word that ends in ``.``, ``!`` or ``?``, or at a line break.  A sentence that runs on is
+cut by its content, so that copies of a passage without stops, or pasted into a sentence, fall into the same
+pieces: from its ``long_words``-th word on it also ends with any word for which the number of bytes times five and
+the first byte add up to a multiple of eight.  From every sentence starts one span: the shortest run of at least
+``sentences`` sentences and ``min_words`` words.  Spans are hashed word by word (white space does not count) into
+128 bits and joined globally; the first occurrence of a hash, by (doc_id, place), stays, and every sentence that
+any later occurrence covers is removed.
 
 Hot spans are pre-aggregated before the shuffle, and the join back to the spans is one that Spark can
 split, so a span that a third of all documents hold is not one task's work.
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, checkpointed, chunks, column
+from .common import CHUNK_BYTES, checkpointed, chunks, column, free_name
 from .vectext import U, Texts, mix, powers
 
 _P1, _P2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -31,11 +34,12 @@ _P1, _P2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 @dataclass(frozen=True)
 class SpanRules:
-    sentences: int = 3
+    sentences: int = 2
     min_words: int = 20
+    long_words: int = 24
 
 
-def split(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def split(t: Texts, rules: SpanRules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (starts, ends, text) and, for each sentence, the index of its first word and of the word after its last."""
     starts, ends, doc = t.words()
     if not len(starts):
@@ -45,12 +49,15 @@ def split(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.
     stop = np.isin(t.bytes[ends - 1], np.frombuffer(b".!?", np.uint8))
     last[:-1] = stop[:-1] | (newlines[starts[1:]] > newlines[ends[:-1]]) | (doc[1:] != doc[:-1])
     after = np.flatnonzero(last) + 1
+    into = np.arange(len(starts)) - np.repeat(np.concatenate([[0], after[:-1]]), np.diff(after, prepend=0))
+    last |= (into >= rules.long_words) & (((ends - starts) * 5 + t.bytes[starts]) % 8 == 0)
+    after = np.flatnonzero(last) + 1
     return starts, ends, doc, np.concatenate([[0], after[:-1]]), after
 
 
 def spans(t: Texts, rules: SpanRules) -> tuple[np.ndarray, ...]:
     """For each span: its text, first sentence in that text, number of sentences, and two hashes."""
-    starts, ends, doc, first, after = split(t)
+    starts, ends, doc, first, after = split(t, rules)
     none = np.zeros(0, np.int64)
     if len(first) < rules.sentences:
         return none, none, none, none, none
@@ -98,20 +105,21 @@ def removals(docs: DataFrame, rules: SpanRules = SpanRules()) -> DataFrame:
 
 def cleaned(docs: DataFrame, rules: SpanRules = SpanRules()) -> DataFrame:
     """``docs`` with the removed sentences cut out of the texts; all columns stay, ``n_chars`` is the new length."""
-    gone = removals(docs, rules).select(F.col("doc_id").alias("__id"), F.col("sentences").alias("__cut"))
     names, schema = docs.columns, docs.schema
-    both = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left").select(*docs.columns, "__cut")
+    key, places = free_name("__id", names), free_name("__cut", names)
+    gone = removals(docs, rules).select(F.col("doc_id").alias(key), F.col("sentences").alias(places))
+    both = docs.join(gone, F.col("doc_id").cast("long") == F.col(key), "left").select(*names, places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=2 * CHUNK_BYTES):
-            cuts = column(batch, "__cut").to_pylist()
-            out = batch.drop_columns(["__cut"])
+            cuts = column(batch, places).to_pylist()
+            out = batch.drop_columns([places])
             if any(cuts):
                 texts = column(out, "text").to_pylist()
                 for k, cut in enumerate(cuts):
                     if cut:
                         t = Texts(pa.array([texts[k]]))
-                        starts, ends, _, first, after = split(t)
+                        starts, ends, _, first, after = split(t, rules)
                         keep = np.ones(len(t.bytes), bool)
                         for c in cut:
                             keep[starts[first[c]] : starts[after[c]] if after[c] < len(starts) else len(t.bytes)] = False
