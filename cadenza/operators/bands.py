@@ -1,8 +1,8 @@
 """Three-band energy of waveform columns.
 
 The band split is a recurrence over a track's frames.  A stretch of frames is filtered alone after a
-warm-up that makes what came before it immaterial (a factor below 2**-24, less than half a level of the
-quantised magnitudes), so long tracks are cut into stretches that tasks take independently.
+warm-up that makes what came before it immaterial (a factor below 2**-40), so long tracks are cut into
+stretches that tasks take independently.  A gap ends the recurrence: what follows it starts from silence.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ CORNERS = (200.0, 2000.0)
 
 
 def band_columns(samples: DataFrame, frames: int, sample_rate: int, stretch_columns: int = 256) -> DataFrame:
-    """(track_id, column_index, low, mid, high, sample_count) for tracks without gaps."""
+    """(track_id, column_index, low, mid, high, sample_count)."""
     low, high = (filter_coefficient(c, sample_rate) for c in CORNERS)
-    warm = -(-int(math.ceil(24 * math.log(2) / -math.log(1 - low))) // frames) * frames if low < 1 else 0
+    warm = -(-int(math.ceil(40 * math.log(2) / -math.log(1 - low))) // frames) * frames if low < 1 else 0
     size = stretch_columns * frames
     key = dict(samples.dtypes)["track_id"]
     own = div(F.col("frame"), size)
@@ -35,7 +35,9 @@ def band_columns(samples: DataFrame, frames: int, sample_rate: int, stretch_colu
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
         frame, x = pdf["frame"].to_numpy(), pdf["x"].to_numpy()
-        parts = series.bands(x, low, high)
+        cuts = np.flatnonzero(np.diff(frame) != 1) + 1
+        runs = [series.bands(part, low, high) for part in np.split(x, cuts)]
+        parts = [np.concatenate(p) for p in zip(*runs, strict=True)]
         inside = frame >= int(pdf["stretch"].iloc[0]) * size
         col = frame[inside] // frames
         at, back = np.unique(col, return_inverse=True)

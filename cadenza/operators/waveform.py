@@ -30,6 +30,13 @@ def merged(acc: DataFrame, factor: int = 1) -> DataFrame:
     )
 
 
+def mono(samples: DataFrame) -> DataFrame:
+    """(track_id, frame, channel, x) to (track_id, frame, x): one channel as it is, two as their mean; more end the query with an error."""
+    out = samples.groupBy("track_id", "frame").agg(F.sum(F.when(F.col("channel") == 0, F.col("x"))).alias("a"), F.sum(F.when(F.col("channel") == 1, F.col("x"))).alias("b"), F.max("channel").alias("last"))
+    x = F.when(F.col("last") > 1, F.raise_error(F.lit("an overview takes one or two channels"))).when(F.col("last") == 1, (F.col("a") + F.col("b")) * 0.5).otherwise(F.col("a"))
+    return out.select("track_id", "frame", x.cast("double").alias("x"))
+
+
 def totals(samples: DataFrame) -> DataFrame:
     """(track_id, total_frames): tracks that end with their last sample."""
     return samples.groupBy("track_id").agg((F.max("frame") + 1).alias("total_frames"))
@@ -61,11 +68,18 @@ def columns(samples: DataFrame, frames: int, total: DataFrame | int | None = Non
 
 
 def islands(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """(keys, first, last, length) of the runs of consecutive values of ``at``."""
-    w = W.partitionBy(*keys).orderBy(at)
-    return rows.select(*keys, F.col(at).alias("at"), (F.col(at) - F.row_number().over(w)).alias("run")).groupBy(*keys, "run").agg(
-        F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("length")
-    ).drop("run")
+    """(keys, first, last, length) of the runs of consecutive values of ``at``, which are distinct.
+
+    Runs are found inside stretches of 4096 values first; only these meet by key.
+    """
+    cut = rows.select(*keys, F.col(at).alias("at"), F.shiftright(F.col(at).cast("bigint"), 12).alias("__stretch"))
+    inside = W.partitionBy(*keys, "__stretch").orderBy("at")
+    local = cut.withColumn("run", F.col("at") - F.row_number().over(inside)).groupBy(*keys, "__stretch", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    order = W.partitionBy(*keys).orderBy("first")
+    apart = F.coalesce((F.col("first") != F.lag("last").over(order) + 1).cast("int"), F.lit(1))
+    marked = local.select(*keys, "first", "last", apart.alias("new")).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    out = marked.groupBy(*keys, "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+    return out.withColumn("length", F.col("last") - F.col("first") + 1)
 
 
 def spans(cols: DataFrame, frames: int, total: DataFrame | None = None) -> DataFrame:
@@ -102,7 +116,14 @@ def longest_runs(cols: DataFrame, tile_columns: int) -> DataFrame:
 
 
 def recent_tiles(accesses: DataFrame, keep: int) -> DataFrame:
-    """The ``keep`` tiles of each track that were used last: (track_id, tile_index, serial) in, with ``recency`` from 1 out."""
+    """The ``keep`` tiles of each track that were used last: (track_id, tile_index, serial) in, with ``recency`` from 1 out.
+
+    A column ``protected`` says which must not go: tiles that a request or the focus lies on come before all others.
+    """
+    if "protected" in accesses.columns:
+        held = accesses.groupBy("track_id", "tile_index").agg(F.max("serial").alias("serial"), F.max("protected").alias("protected"))
+        order = W.partitionBy("track_id").orderBy(F.desc("protected"), F.desc("serial"), "tile_index")
+        return held.withColumn("recency", F.row_number().over(order)).filter((F.col("recency") <= keep) | F.col("protected"))
     last = accesses.groupBy("track_id", "tile_index").agg(F.max("serial").alias("serial"))
     ranked = last.withColumn("recency", F.row_number().over(W.partitionBy("track_id").orderBy(F.desc("serial"), "tile_index")))
     return ranked.filter(F.col("recency") <= keep)

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import FINAL, Feature, Geometry, closure
+from ..config import FINAL, GRID_DYNAMIC, Feature, Geometry, closure
 from ..operators import bands, coverage, grid, scheduler, tempo, waveform
 
 CAPABILITIES = sum(Feature)
@@ -72,7 +72,13 @@ class Analysis:
     @cached_property
     def segments(self) -> DataFrame:
         self._need(Feature.GLOBAL_GRID)
-        return grid.with_periods(grid.segments(self._windows, self.geometry), self.geometry)
+        found = grid.with_periods(grid.segments(self._windows, self.geometry), self.geometry)
+        # grids that list beats count what they list; constant ones count by arithmetic
+        listed = grid.numbered(found).drop("first_beat", "anchor_ordinal")
+        if Feature.DYNAMIC_TEMPO in self.features:
+            return listed
+        several = F.col("flags").bitwiseAND(F.lit(GRID_DYNAMIC)) != 0
+        return listed.filter(several).unionByName(found.filter(~several))
 
     def grid(self) -> DataFrame:
         return grid.grid_summary(self._windows, self.segments, Feature.DYNAMIC_TEMPO in self.features)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..config import Feature, closure
 from ..functions import signal
-from ..functions.ranges import focus, intersection
+from ..functions.ranges import focus, frame_at, intersection, seconds
 from ..functions.tempo import div, prior, tempo_from_lag
-from ..operators import coverage, onset, scheduler, waveform
+from ..operators import coverage, onset, scheduler, seeding, waveform
 from ..sources import surrogates as S
 
 QUERIES: dict = {}
@@ -141,10 +141,10 @@ def f32_clamp(spark, sf_dir):
     FROM sig_v a JOIN sig_v b ON a.track_id = b.track_id AND b.frame = a.frame + 1 WHERE a.frame % 2 = 0"""
 )
 def mono_reduce(spark, sf_dir):
-    """Two interleaved channels to one: the mean of each frame's pair, by one aggregation."""
+    """Two interleaved channels to one: the mean of each frame's pair."""
     x = S.vector_samples(spark, sf_dir)
-    both = x.groupBy("track_id", div(F.col("frame"), 2).alias("frame")).agg(F.sum(F.when(F.col("frame") % 2 == 0, F.col("x"))).alias("l"), F.sum(F.when(F.col("frame") % 2 == 1, F.col("x"))).alias("r"))
-    return both.select("track_id", "frame", F.floor((F.col("l") + F.col("r")) * 0.5 * 1e9 + 0.5).cast("bigint").alias("x_e9"))
+    both = x.select("track_id", div(F.col("frame"), 2).alias("frame"), (F.col("frame") % 2).alias("channel"), "x")
+    return waveform.mono(both).select("track_id", "frame", F.floor(F.col("x") * 1e9 + 0.5).cast("bigint").alias("x_e9"))
 
 
 _ACCEPTED = """b AS (SELECT *, max(end_frame) OVER (PARTITION BY track_id ORDER BY first_frame, end_frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM req),
@@ -168,13 +168,35 @@ def missing_ranges(spark, sf_dir):
     return coverage.missing_ranges(coverage.accepted_ranges(r), total)
 
 
+#: Blocks one after the other against a list of what was accepted before, which holds accepted parts only.
+FOLD = """s AS (SELECT DISTINCT track_id, 0::BIGINT AS n, 0::BIGINT AS serial, 0::BIGINT AS took, '' AS status, CAST([] AS STRUCT(f BIGINT, e BIGINT)[]) AS held FROM b
+      UNION ALL SELECT track_id, n, serial, took, CASE WHEN bad THEN 'INVALID' WHEN hit THEN 'CONFLICT' WHEN took = size THEN 'OK' ELSE 'MORE_WORK' END, CASE WHEN took > 0 THEN list_append(held, {'f': f, 'e': f + took}) ELSE held END
+      FROM (SELECT *, CASE WHEN bad OR hit THEN 0 ELSE least(size, 4096, coalesce(list_min(list_transform(list_filter(held, lambda r: r.f > f), lambda r: r.f)) - f, 4096)) END AS took
+        FROM (SELECT b.track_id, b.n, b.serial, b.f, b.size, s.held, b.size <= 0 OR b.f < 0 AS bad, len(list_filter(s.held, lambda r: r.f <= b.f AND b.f < r.e)) > 0 AS hit FROM s JOIN b ON b.track_id = s.track_id AND b.n = s.n + 1)))"""
+
+
 @query(
-    f"""{S.with_sql("req")} SELECT request_id, track_id, first_frame, end_frame, coalesce(first_frame < max(end_frame) OVER w, false) AS conflict,
-    CASE WHEN coalesce(first_frame < max(end_frame) OVER w, false) THEN 0 ELSE 4096 END AS accepted_frames FROM req
-    WINDOW w AS (PARTITION BY track_id ORDER BY first_frame, end_frame, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+    f"""{S.with_sql("req").replace("WITH", "WITH RECURSIVE", 1)}, b AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY request_id) AS n, request_id AS serial, first_frame - request_id % 7 * 64 AS f, 4096 + request_id % 5 * 64 AS size FROM req), {FOLD}
+    SELECT track_id, serial, took AS accepted_frames, status FROM s WHERE n > 0"""
 )
 def overlap_conflicts(spark, sf_dir):
-    return coverage.overlap_conflicts(S.request_ranges(spark, sf_dir).select("request_id", "track_id", "first_frame", "end_frame"))
+    """Blocks as pushed in the order of their serial: only what was accepted before can reject or shorten one."""
+    r, serial = S.request_ranges(spark, sf_dir), F.col("request_id")
+    first = F.col("first_frame") - serial % 7 * 64
+    blocks = r.select("track_id", serial.alias("serial"), first.alias("first_frame"), (first + 4096 + serial % 5 * 64).alias("end_frame"))
+    return coverage.acceptance(blocks, "serial").drop("first_frame", "end_frame")
+
+
+@query(
+    """SELECT o_orderkey AS track_id, CASE WHEN fin IS NULL THEN 'INVALID' WHEN earlier IS NOT NULL AND earlier = fin THEN 'OK' WHEN earlier IS NOT NULL THEN 'CONFLICT' WHEN known <> fin OR acc > fin THEN 'CONFLICT' ELSE 'OK' END AS status
+    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey * 10 END AS known, o_orderkey % 2000 AS acc, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey * 10 + CASE WHEN o_orderkey % 5 = 0 THEN 10 ELSE 0 END END AS fin, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey * 10 END AS earlier FROM orders)"""
+)
+def end_of_input(spark, sf_dir):
+    k, end = F.col("o_orderkey"), F.col("o_custkey") * 10
+    t = S.table(spark, sf_dir, "orders").select(
+        k.alias("track_id"), F.when(k % 3 == 0, end).alias("known_total"), (k % 2000).alias("accepted_end"), F.when(k % 11 != 0, end + F.when(k % 5 == 0, 10).otherwise(0)).alias("final_end"), F.when(k % 4 == 0, end).alias("earlier_end")
+    )
+    return coverage.ended(t).select("track_id", "status")
 
 
 @query("SELECT l_orderkey, l_linenumber, n AS frame_count, CASE WHEN n <= 0 THEN 'empty' WHEN f < 0 THEN 'negative' WHEN f + n > 20000 THEN 'beyond_end' END AS error FROM (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT - 3 AS n, l_partkey * 10 - 50 AS f FROM lineitem)")
@@ -240,16 +262,106 @@ def request_aging(spark, sf_dir):
 _HAVE = "have AS (SELECT DISTINCT track_id, first_frame // 1024 AS column_index FROM req WHERE request_id % 3 = 0 UNION SELECT DISTINCT track_id, first_frame // 1024 + 1 FROM req WHERE request_id % 3 = 0)"
 
 
+_FINE = "fine AS (SELECT DISTINCT track_id, first_frame // 256 + k AS column_index FROM req, (SELECT unnest(range(10)) AS k) WHERE request_id % 64 = 0)"
+_MASK = "[1, 2, 3, 8][request_id % 4 + 1]"
+_STATUS = "CASE WHEN request_id % 17 = 0 THEN 5 WHEN request_id % 19 = 0 THEN 6 WHEN request_id % 23 = 0 THEN 4 ELSE 0 END"
+
+
+def _asking(spark, sf_dir):
+    """Requests with what they ask for and a status, and the overview and detail columns that are there."""
+    k = F.col("request_id")
+    r = S.request_ranges(spark, sf_dir).withColumn("features", F.element_at(F.array(*[F.lit(m) for m in (1, 2, 3, 8)]), (k % 4 + 1).cast("int")))
+    r = r.withColumn("status", F.when(k % 17 == 0, 5).when(k % 19 == 0, 6).when(k % 23 == 0, 4).otherwise(0))
+    third = r.filter("request_id % 3 = 0").select("track_id", div(F.col("first_frame"), 1024).alias("column_index"))
+    have = third.union(third.select("track_id", F.col("column_index") + 1)).distinct()
+    fine = r.filter("request_id % 64 = 0").select("track_id", F.explode(F.sequence(div(F.col("first_frame"), 256), div(F.col("first_frame"), 256) + 9)).alias("column_index")).distinct()
+    return r, have, fine
+
+
 @query(
-    f"""{S.with_sql("req")}, {_HAVE}, w AS (SELECT request_id, track_id, first_frame, end_frame, unnest(range(first_frame // 1024, (end_frame - 1) // 1024 + 1)) AS column_index FROM req),
-    g AS (SELECT request_id, track_id, first_frame, end_frame, count(*) AS want, count(h.track_id) AS have FROM w LEFT JOIN have h USING (track_id, column_index) GROUP BY ALL)
-    SELECT request_id, track_id, first_frame, end_frame, (CASE WHEN have = want THEN 4 WHEN have > 0 THEN 3 ELSE 1 END)::INT AS state, (CASE WHEN have = want THEN 1000 WHEN have > 0 THEN 500 ELSE 0 END)::INT AS permille FROM g"""
+    f"""{S.with_sql("req")}, {_HAVE}, {_FINE}, r AS (SELECT *, {_MASK} AS features, {_STATUS} AS status FROM req),
+    o AS (SELECT request_id, count(h.track_id) AS have, count(*) AS want FROM (SELECT request_id, track_id, unnest(range(first_frame // 1024, (end_frame - 1) // 1024 + 1)) AS column_index FROM r) LEFT JOIN have h USING (track_id, column_index) GROUP BY 1),
+    d AS (SELECT request_id, count(f.track_id) AS have, count(*) AS want FROM (SELECT request_id, track_id, unnest(range(first_frame // 256, (end_frame - 1) // 256 + 1)) AS column_index FROM r) LEFT JOIN fine f USING (track_id, column_index) GROUP BY 1),
+    x AS (SELECT r.request_id, features, status, features & 1 <> 0 AS ov, features & 2 <> 0 AS de, o.have = o.want AS oc, o.have > 0 AS os, d.have = d.want AS dc, d.have > 0 AS ds FROM r JOIN o USING (request_id) JOIN d USING (request_id)),
+    base AS (SELECT *, CASE WHEN status IN (4, 5, 6) OR NOT ov THEN status WHEN oc THEN 4 WHEN os THEN 3 ELSE 1 END AS first FROM x),
+    joint AS (SELECT *, CASE WHEN status IN (5, 6) OR NOT de THEN first WHEN (NOT ov OR first = 4) AND dc THEN 4 WHEN (ov AND first IN (3, 4)) OR ds THEN 3 ELSE 1 END AS state FROM base)
+    SELECT request_id, features, state::INT AS state, (CASE WHEN state = 4 THEN 1000 WHEN state = 3 THEN 500 ELSE 0 END)::INT AS permille FROM joint WHERE NOT (status = 4 AND de)"""
 )
 def request_state(spark, sf_dir):
-    r = S.request_ranges(spark, sf_dir).select("request_id", "track_id", "first_frame", "end_frame")
-    third = r.filter("request_id % 3 = 0").select("track_id", div(F.col("first_frame"), 1024).alias("column_index"))
-    have = third.union(third.select("track_id", F.col("column_index") + 1)).distinct()
-    return scheduler.progress(r, have, 1024)
+    """All states of requests for overview, detail, both and neither."""
+    r, have, fine = _asking(spark, sf_dir)
+    r = r.filter("not (status = 4 and features in (2, 3))").select("request_id", "track_id", "first_frame", "end_frame", "features", "status")
+    return scheduler.progress(r, have, 1024, fine, 256).select("request_id", "features", "state", "permille")
+
+
+_HALF = """half AS (SELECT * FROM req WHERE request_id % 2 = 0),
+    hb AS (SELECT *, max(end_frame) OVER (PARTITION BY track_id ORDER BY first_frame, end_frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM half),
+    hi AS (SELECT *, sum(CASE WHEN reach IS NULL OR first_frame > reach THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY first_frame, end_frame) AS island FROM hb),
+    a AS (SELECT track_id, min(first_frame) AS af, max(end_frame) AS ae FROM hi GROUP BY track_id, island)"""
+
+
+@query(
+    f"""{S.with_sql("req")}, {_HALF}, r AS (SELECT *, {_MASK} AS features, {_STATUS} AS status FROM req),
+    t AS (SELECT DISTINCT track_id, CASE WHEN track_id % 3 <> 0 THEN 200000 + track_id * 100 END AS total, 5000 AS reach FROM req),
+    fo AS (SELECT track_id, greatest(track_id * 900 - 3000, 0) AS ff, track_id * 900 + 9000 AS fe, 192 AS fp FROM t WHERE track_id % 2 = 0),
+    best AS (SELECT track_id, request_id, first_frame, end_frame, priority FROM r WHERE features & 1 <> 0 AND status IN (0, 1, 3) AND track_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY priority DESC, request_id) = 1),
+    goal AS (SELECT t.track_id, total, coalesce(first_frame, ff, CASE WHEN total IS NULL THEN reach ELSE 0 END) AS f, least(coalesce(end_frame, fe, total, reach + 4096), coalesce(total, 1000000000000)) AS e, coalesce(priority, fp, 32) AS priority, coalesce(request_id, 0) AS token FROM t LEFT JOIN best USING (track_id) LEFT JOIN fo USING (track_id)),
+    edge AS (SELECT track_id, unnest([f] || coalesce(list(ae) FILTER (ae > f AND ae < e), [])) AS cand, any_value(f) AS f, any_value(e) AS e, any_value(priority) AS priority, any_value(token) AS token FROM goal LEFT JOIN a USING (track_id) WHERE f < e GROUP BY track_id, f, e),
+    gap AS (SELECT edge.track_id, min(cand) AS mf, any_value(e) AS e, any_value(priority) AS priority, any_value(token) AS token FROM edge WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.track_id = edge.track_id AND af <= cand AND cand < ae) GROUP BY 1)
+    SELECT gap.track_id, token::BIGINT AS token, mf AS first_frame, least(e, mf + 4096, coalesce((SELECT min(af) FROM a WHERE a.track_id = gap.track_id AND af > mf), e))::BIGINT AS end_frame, priority::INT AS priority FROM gap"""
+)
+def next_pushes(spark, sf_dir):
+    """Open requests before the focus before the whole track; the first gap of the target, one push at most."""
+    r, _, _ = _asking(spark, sf_dir)
+    t = F.col("track_id")
+    tracks = r.select("track_id").distinct().withColumns({"total_frames": F.when(t % 3 != 0, t * 100 + 200_000), "contiguous_end": F.lit(5000).cast("long")})
+    focus = tracks.filter("track_id % 2 = 0").select("track_id", (t * 900).alias("playhead"), F.lit(3000).alias("behind"), F.lit(9000).alias("ahead"), F.lit(1).alias("features"), F.lit(192).alias("priority"))
+    accepted = coverage.accepted_ranges(r.filter("request_id % 2 = 0"))
+    return scheduler.next_pushes(tracks, r.filter("track_id % 5 <> 0"), accepted, focus).drop("feature")
+
+
+@query(
+    f"""{S.with_sql("req")}, {_FINE}, r AS (SELECT *, {_MASK} AS features, {_STATUS} AS status FROM req), t AS (SELECT DISTINCT track_id FROM req),
+    best AS (SELECT track_id, request_id, first_frame // 256 AS c0, (end_frame + 255) // 256 AS c1, priority FROM r WHERE features & 2 <> 0 AND status IN (0, 1, 3) QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY priority DESC, request_id) = 1),
+    col AS (SELECT track_id, request_id, priority, unnest(range(c0, c1)) AS c FROM best), gone AS (SELECT col.* FROM col LEFT JOIN fine f ON f.track_id = col.track_id AND f.column_index = col.c WHERE f.track_id IS NULL),
+    run AS (SELECT *, c - row_number() OVER (PARTITION BY track_id ORDER BY c) AS g, min(c) OVER (PARTITION BY track_id) AS m FROM gone)
+    SELECT track_id, request_id AS token, min(c) * 256 AS first_frame, least((max(c) + 1) * 256, min(c) * 256 + 4096) AS end_frame, priority::INT AS priority FROM run GROUP BY track_id, request_id, priority, g HAVING min(c) = any_value(m)"""
+)
+def detail_pushes(spark, sf_dir):
+    """Detail goes before the overview: the first run of detail columns that a track's best request lacks."""
+    r, _, fine = _asking(spark, sf_dir)
+    tracks = r.select("track_id").distinct().withColumns({"total_frames": F.lit(None).cast("long"), "contiguous_end": F.lit(0).cast("long")})
+    accepted = coverage.accepted_ranges(r.filter("request_id % 2 = 0"))
+    return scheduler.next_pushes(tracks, r, accepted, None, fine, 256).filter("feature = 2").drop("feature")
+
+
+@query(
+    f"""{S.with_sql("req")}, bl AS (SELECT request_id AS block_id, track_id, first_frame + 1000 AS first_frame, first_frame + 2024 AS end_frame FROM req WHERE request_id % 5 = 0),
+    fo AS (SELECT DISTINCT track_id, greatest(track_id * 500 - 2000, 0) AS ff, track_id * 500 + 20000 AS fe, 100 AS fp FROM req WHERE track_id % 2 = 0),
+    m AS (SELECT block_id, b.track_id, r.request_id, (r.priority + least(r.skips * 8, 255 - r.priority))::INT AS eff, r.deadline FROM bl b JOIN req r ON r.track_id = b.track_id AND r.first_frame < b.end_frame AND b.first_frame < r.end_frame WHERE r.request_id % 2 = 1),
+    best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY eff DESC, (deadline <> 0)::INT DESC, CASE WHEN deadline <> 0 THEN deadline END NULLS LAST, request_id) = 1),
+    j AS (SELECT b.block_id, b.track_id, best.request_id, best.eff, best.deadline, CASE WHEN fo.ff < b.end_frame AND b.first_frame < fo.fe THEN fp END AS fp FROM bl b LEFT JOIN best USING (block_id) LEFT JOIN fo ON fo.track_id = b.track_id),
+    k AS (SELECT block_id, track_id, CASE WHEN fp > coalesce(eff, 0) THEN NULL ELSE request_id END AS request_id, greatest(coalesce(eff, 0), coalesce(fp, 0)) AS e, CASE WHEN fp > coalesce(eff, 0) THEN NULL ELSE deadline END AS deadline FROM j)
+    SELECT block_id, track_id, request_id, e AS effective_priority, row_number() OVER (PARTITION BY track_id ORDER BY e DESC, (request_id IS NULL)::INT, (coalesce(deadline, 0) <> 0)::INT DESC, CASE WHEN deadline <> 0 THEN deadline END NULLS LAST, request_id, block_id) AS rank FROM k"""
+)
+def block_scores(spark, sf_dir):
+    """Queued blocks by the best request that overlaps each, or the focus."""
+    r = S.request_ranges(spark, sf_dir)
+    blocks = r.filter("request_id % 5 = 0").select(F.col("request_id").alias("block_id"), "track_id", (F.col("first_frame") + 1000).alias("first_frame"), (F.col("first_frame") + 2024).alias("end_frame"))
+    t = F.col("track_id")
+    focus = r.filter("track_id % 2 = 0").select("track_id").distinct().select("track_id", (t * 500).alias("playhead"), F.lit(2000).alias("behind"), F.lit(20_000).alias("ahead"), F.lit(100).alias("priority"))
+    return scheduler.scored_blocks(blocks, r.filter("request_id % 2 = 1"), focus).select("block_id", "track_id", "request_id", "effective_priority", "rank")
+
+
+@query(
+    f"""{S.with_sql("req")}, x AS (SELECT track_id, request_id % 40 AS request_id, request_id AS serial, request_id % 13 = 0 AS bad FROM req),
+    y AS (SELECT *, CASE WHEN bad THEN 'invalid' WHEN row_number() OVER (PARTITION BY track_id, request_id, bad ORDER BY serial) > 1 THEN 'conflict' END AS e FROM x)
+    SELECT track_id, request_id, serial, CASE WHEN e IS NULL AND count(*) FILTER (e IS NULL) OVER (PARTITION BY track_id ORDER BY serial ROWS UNBOUNDED PRECEDING) > 16 THEN 'limit' ELSE e END AS error FROM y"""
+)
+def request_admission(spark, sf_dir):
+    k = F.col("request_id")
+    r = S.request_ranges(spark, sf_dir).select("track_id", (k % 40).alias("request_id"), k.alias("serial"), "first_frame", F.when(k % 13 == 0, F.col("first_frame")).otherwise(F.col("end_frame")).alias("end_frame"))
+    return scheduler.admitted(r).select("track_id", "request_id", "serial", "error")
 
 
 @query(
@@ -329,6 +441,21 @@ def tempo_of_lag(spark, sf_dir):
     return spark.range(38, 282).select(F.col("id").alias("lag"), tempo_from_lag(F.col("id"), 48_000, 256).alias("tempo"))
 
 
+@query("SELECT event_id, floor(event_id / 44100.0::DOUBLE * 1000000000 + 0.5)::BIGINT AS at_e9, floor(value * 44100.0::DOUBLE)::BIGINT AS start_frame, ceil(value * 44100.0::DOUBLE)::BIGINT AS end_frame, round_even(value * 44100.0::DOUBLE, 0)::BIGINT AS nearest FROM events")
+def frame_times(spark, sf_dir):
+    e = S.table(spark, sf_dir, "events")
+    at = lambda how: frame_at(F.col("value"), 44_100, how)
+    return e.select("event_id", F.floor(seconds(F.col("event_id"), 44_100) * 1e9 + 0.5).cast("bigint").alias("at_e9"), at("floor").alias("start_frame"), at("ceil").alias("end_frame"), at("nearest").alias("nearest"))
+
+
+@query("SELECT rate, corner, floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - exp(-2.0::DOUBLE * pi() * corner / rate))) * 1000000000 + 0.5)::BIGINT AS coefficient_e9 FROM (SELECT unnest([8000, 22050, 44100, 48000, 96000])::BIGINT AS rate), (SELECT unnest([200, 2000, 400000])::BIGINT AS corner)")
+def filter_coefficients(spark, sf_dir):
+    from ..functions.tempo import filter_coefficient
+
+    rows = [(r, c, int(filter_coefficient(float(c), r) * 1e9 + 0.5)) for r in (8000, 22_050, 44_100, 48_000, 96_000) for c in (200, 2000, 400_000)]
+    return spark.createDataFrame(rows, "rate bigint, corner bigint, coefficient_e9 bigint")
+
+
 @query("SELECT rate, greatest(1, (rate * 60 + 300 * 256 - 1) // (300 * 256)) AS low, rate * 60 // (40 * 256) AS high FROM (SELECT unnest([8000, 22050, 44100, 48000, 96000])::BIGINT AS rate)")
 def lag_bounds(spark, sf_dir):
     from ..config import Geometry
@@ -351,6 +478,48 @@ def seed_resume(spark, sf_dir):
     return waveform.resumed(first, waveform.columns(x.filter(F.col("frame") >= half - 64), 64, total))
 
 
+_SEED = """seed AS (SELECT p_partkey AS track_id, [0, 48000, 44100][k % 3 + 1] AS prior_sample_rate, 48000 AS sample_rate, [0, 1, 2][k // 3 % 3 + 1] AS prior_channels, 1 AS channels, [0, 1, 2][k // 2 % 3 + 1] AS prior_layout, [0, 1][k % 2 + 1] AS layout,
+    [0, 1, 1, 2][k // 5 % 4 + 1] AS prior_kind, [1, 0, 1][k % 3 + 1] AS kind, (k // 7 % 3 = 0)::INT AS prior_print, 1 AS print, k % 13 = 0 AS require, CASE WHEN k % 4 <> 0 THEN 1000 + k % 5 // 4 END AS prior_total, CASE WHEN k % 6 <> 0 THEN 1000 END AS total, [1024, 1024, 1024, 512][k // 11 % 4 + 1] AS prior_size, 1024 AS size, 900 + k % 12 * 10 AS prior_end
+    FROM (SELECT p_partkey, p_partkey * 7 + p_size AS k FROM part))"""
+
+
+@query(
+    f"""WITH {_SEED} SELECT track_id, CASE WHEN prior_sample_rate <> 0 AND prior_sample_rate <> sample_rate THEN 'sample_rate' WHEN prior_channels <> 0 AND prior_channels <> channels THEN 'channels' WHEN prior_layout <> 0 AND layout <> 0 AND prior_layout <> layout THEN 'layout'
+    WHEN require AND (kind = 0 OR prior_kind = 0) THEN 'identity' WHEN kind <> 0 AND prior_kind <> 0 AND (kind <> prior_kind OR prior_print <> print) THEN 'fingerprint' WHEN prior_total <> total THEN 'length' WHEN prior_size <> size THEN 'column_size' WHEN prior_end > total THEN 'beyond_end' END AS reason FROM seed"""
+)
+def seed_conflicts(spark, sf_dir):
+    """Whether earlier results fit the analyses that they are to seed, with the first reason against it."""
+    k = F.col("p_partkey") * 7 + F.col("p_size")
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at % len(values) + 1).cast("int"))
+    rows = S.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("track_id"), pick((0, 48_000, 44_100), k).alias("prior_sample_rate"), F.lit(48_000).alias("sample_rate"), pick((0, 1, 2), div(k, 3)).alias("prior_channels"), F.lit(1).alias("channels"),
+        pick((0, 1, 2), div(k, 2)).alias("prior_layout"), pick((0, 1), k).alias("layout"), pick((0, 1, 1, 2), div(k, 5)).alias("prior_fingerprint_kind"), pick((1, 0, 1), k).alias("fingerprint_kind"),
+        (div(k, 7) % 3 == 0).cast("int").alias("prior_fingerprint"), F.lit(1).alias("fingerprint"), (k % 13 == 0).alias("require_identity"), F.when(k % 4 != 0, div(k % 5, 4) + 1000).alias("prior_total_frames"),
+        F.when(k % 6 != 0, 1000).alias("total_frames"), pick((1024, 1024, 1024, 512), div(k, 11)).alias("prior_frames_per_column"), F.lit(1024).alias("frames_per_column"), (k % 12 * 10 + 900).alias("prior_end"),
+    )
+    return rows.select("track_id", seeding.conflict().alias("reason"))
+
+
+@query(
+    _columns_sql("sig_u", 16) + f""", c AS (SELECT track_id, column_index, {_FINAL} FROM cols), r AS (SELECT c.*, floor(rms / 65535.0::DOUBLE * 8388608.0::DOUBLE)::BIGINT AS level, least(16, total - column_index * 16) AS n FROM c JOIN t USING (track_id))
+    SELECT track_id, column_index, floor(minimum / 32767.0::DOUBLE * 1000000000 + 0.5)::BIGINT AS lo_e9, floor(maximum / 32767.0::DOUBLE * 1000000000 + 0.5)::BIGINT AS hi_e9, (level::HUGEINT * level * n)::BIGINT AS sum_squares, n, flags & 4 <> 0 AS clipped FROM r"""
+)
+def seed_accumulators(spark, sf_dir):
+    """Accumulators read back from finished columns."""
+    x = S.user_samples(spark, sf_dir)
+    total = waveform.totals(x)
+    e9 = lambda c: F.floor(F.col(c) * 1e9 + 0.5).cast("bigint").alias(f"{c}_e9")
+    return seeding.restored(waveform.columns(x, 16, total), 16, total).select("track_id", "column_index", e9("lo"), e9("hi"), "sum_squares", "n", "clipped")
+
+
+@query(_columns_sql("sig_u", 16) + f" SELECT track_id, column_index, {_FINAL} FROM cols")
+def seed_restored(spark, sf_dir):
+    """Columns from accumulators that were read back from columns: the same ones."""
+    x = S.user_samples(spark, sf_dir)
+    total = waveform.totals(x)
+    return waveform.finalized(waveform.merged(seeding.restored(waveform.columns(x, 16, total), 16, total)))
+
+
 @query("SELECT user_id::VARCHAR AS track_id, count(*) AS rows, sha256(string_agg(event_type, ',' ORDER BY ts, event_id)) AS signature, sha256(string_agg(event_type, ',' ORDER BY ts, event_id)) <> sha256(string_agg(event_type, ',' ORDER BY ts, event_id) FILTER (event_id % 10 <> 0)) AS changed FROM events GROUP BY 1 HAVING count(*) FILTER (event_id % 10 <> 0) > 0")
 def generation_diff(spark, sf_dir):
     """Which tracks a later generation changes, by the hash of their content."""

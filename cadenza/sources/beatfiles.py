@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,41 +15,71 @@ class BeatFileError(ValueError):
     pass
 
 
+#: Big-endian sizes after a tag's four letters: of its head, these letters included, and of all of it.
+_SIZES = struct.Struct(">4sII")
+_BEAT = np.dtype([("beat", ">u2"), ("tempo", ">u2"), ("ms", ">u4")])
+
+
+def _piece(view: memoryview) -> tuple[bytes, memoryview, memoryview]:
+    """The letters, head and body of the tag that ``view`` starts with."""
+    if len(view) < _SIZES.size:
+        raise BeatFileError("truncated tag")
+    letters, head, size = _SIZES.unpack_from(view)
+    if not _SIZES.size <= head <= size <= len(view):
+        raise BeatFileError("tag sizes")
+    return letters, view[_SIZES.size : head], view[head:size]
+
+
+def _tags(data: bytes) -> Iterator[tuple[bytes, memoryview, memoryview]]:
+    """All tags of a file; the file itself is one, with the others as its body."""
+    letters, _, rest = _piece(memoryview(data))
+    if letters != b"PMAI":
+        raise BeatFileError("no file header")
+    while rest:
+        tag = _piece(rest)
+        yield tag
+        rest = rest[_SIZES.size + len(tag[1]) + len(tag[2]) :]
+
+
+def _count(head: memoryview, at: int, body: memoryview, width: int) -> int:
+    """A number in a tag's head, of entries of ``width`` bytes that its body must hold."""
+    if len(head) < at + 4:
+        raise BeatFileError("short tag head")
+    n = int.from_bytes(head[at : at + 4], "big")
+    if n * width > len(body):
+        raise BeatFileError("more entries than bytes")
+    return n
+
+
+def _path(head: memoryview, body: memoryview) -> str:
+    raw = bytes(body[: _count(head, 0, body, 1)])
+    try:
+        return raw.decode("utf-16-be").rstrip("\0")
+    except UnicodeDecodeError as e:
+        raise BeatFileError("path text") from e
+
+
+def _tempi(head: memoryview, body: memoryview) -> list[int]:
+    beats = np.frombuffer(body, _BEAT, _count(head, 8, body, _BEAT.itemsize))
+    if not beats["tempo"].all():
+        raise BeatFileError("a tempo of zero")
+    return beats["tempo"].tolist()
+
+
+#: What is read of a file, by tag; of repeated tags the last counts.
+_HANDLERS = {b"PPTH": ("path", _path), b"PQTZ": ("tempi", _tempi)}
+
+
 def beat_file(data: bytes) -> tuple[str, list[int]]:
     """Track path and the beats' tempi in hundredths, of a file of big-endian tags."""
-    number = lambda at: int.from_bytes(data[at : at + 4], "big")
-    if len(data) < 28 or data[:4] != b"PMAI":
-        raise BeatFileError("no file header")
-    at, end = number(4), number(8)
-    if not 12 <= at <= end <= len(data):
-        raise BeatFileError("header sizes")
-    path, tempi = "", []
-    while at < end:
-        if at + 12 > end:
-            raise BeatFileError("truncated tag")
-        tag, head, size = data[at : at + 4], number(at + 4), number(at + 8)
-        if head < 12 or size < head or at + size > end:
-            raise BeatFileError("tag sizes")
-        if tag == b"PPTH":
-            n = number(at + 12)
-            if head < 16 or n > size - 16:
-                raise BeatFileError("path size")
-            try:
-                path = data[at + 16 : at + 16 + n].decode("utf-16-be").rstrip("\0")
-            except UnicodeDecodeError as e:
-                raise BeatFileError("path text") from e
-        elif tag == b"PQTZ":
-            n = number(at + 20)
-            if head < 24 or n * 8 > size - head:
-                raise BeatFileError("beat count")
-            beats = np.frombuffer(data, np.dtype([("beat", ">u2"), ("tempo", ">u2"), ("ms", ">u4")]), n, at + head)
-            tempi = beats["tempo"].astype(int).tolist()
-            if 0 in tempi:
-                raise BeatFileError("a tempo of zero")
-        at += size
-    if not path or not tempi:
+    found: dict = {}
+    for letters, head, body in _tags(data):
+        if letters in _HANDLERS:
+            name, handler = _HANDLERS[letters]
+            found[name] = handler(head, body)
+    if not found.get("path") or not found.get("tempi"):
         raise BeatFileError("no path or no beats")
-    return path, tempi
+    return found["path"], found["tempi"]
 
 
 def beat_rows(files: DataFrame) -> DataFrame:

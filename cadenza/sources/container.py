@@ -9,17 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..config import EXPLICIT, FINAL, HYBRID, MAX_BEATS, MAX_CANDIDATES, MAX_SEGMENTS, MAX_TEMPO, MIN_TEMPO, PROVISIONAL, SEGMENTS
+from ..config import APPLIED, EXPLICIT, FINAL, HYBRID, MAX_BEATS, MAX_CANDIDATES, MAX_SEGMENTS, MAX_TEMPO, MIN_TEMPO, PENDING, PROVISIONAL, SEGMENTS
 from . import layout as L
 
 # Metadata keys and the limits of their texts in bytes.
 META_KEYS = {1: ("producer_name", 255), 2: ("producer_version", 127), 3: ("backend_name", 255), 4: ("backend_version", 127), 5: ("creation_unix_time", 8), 6: ("source_id", 1024), 7: ("comments", 4096)}
-PENDING, APPLIED = 1, 2
 
 
 class ContainerError(ValueError):
@@ -42,7 +42,7 @@ def _overview(o: dict) -> bytes:
     spans, columns, at = [], [], 0
     for s in o["spans"]:
         spans.append(L.SPAN.pack({"first_frame": s["first_frame"], "end_frame": s["end_frame"], "first_column": s["first_column"], "column_count": len(s["columns"]), "data_column": at}))
-        columns += [L.COLUMN.pack(c) for c in s["columns"]]
+        columns.append(L.columns(s["columns"]).tobytes())
         at += len(s["columns"])
     start = L.OVERVIEW.size + len(spans) * L.SPAN.size
     head = {"level_id": 0, "frames_per_column": o["frames_per_column"], "origin_frame": 0, "column_count": o["column_count"], "span_count": len(spans), "spans_offset": L.OVERVIEW.size, "columns_offset": start, "flags": o["state"] | o.get("confidence", 255) << 8}
@@ -54,7 +54,7 @@ def _tiles(tiles: list[dict]) -> bytes:
     at, heads, body = L.DETAIL.size + len(tiles) * L.TILE.size, [], []
     for t in tiles:
         heads.append(L.TILE.pack(t | {"column_count": len(t["columns"]), "columns_offset": at}))
-        body += [L.COLUMN.pack(c) for c in t["columns"]]
+        body.append(L.columns(t["columns"]).tobytes())
         at += len(t["columns"]) * L.COLUMN.size
     return L.DETAIL.pack({"tile_count": len(tiles), "tiles_offset": L.DETAIL.size}) + b"".join(heads) + b"".join(body)
 
@@ -73,25 +73,30 @@ def _metadata(m: dict) -> bytes:
     return L.cbor(out)
 
 
-def finality(r: dict) -> bool:
+def finality(r: dict, check: bool = True) -> bool:
     """Whether every present section is final; a final grid with a pending revision contradicts itself."""
     grid, revision = r.get("grid"), r.get("revision")
-    _need(not (grid and revision and grid["state"] == FINAL and revision["state"] == PENDING), "a final grid with a pending revision", "invalid")
+    _need(not (check and grid and revision and grid["state"] == FINAL and revision["state"] == PENDING), "a final grid with a pending revision", "invalid")
     states = [r["overview"]["state"], *(t["state"] for t in r.get("tiles") or ()), *(r[k]["state"] for k in ("tempo", "local", "grid") if r.get(k))]
     states += [s["state"] for s in (grid or {}).get("segments", ())]
     return all(s == FINAL for s in states) and not (revision and revision["state"] == PENDING) and r["source"].get("total_frames") is not None
 
 
-def write(r: dict) -> bytes:
-    """The canonical bytes of a result."""
+def write(r: dict, listed: bool = False, metadata: bytes | None = None, check: bool = True) -> bytes:
+    """The canonical bytes of a result.
+
+    For tests of readers: ``listed`` keeps candidates as they are listed, ``metadata`` stands for that section, and ``check``
+    off lets a result through that contradicts itself.
+    """
     sections: list[tuple[str, bytes]] = [("WOVR", _overview(r["overview"]))]
     if r.get("tiles"):
         sections.append(("WDTL", _tiles(r["tiles"])))
     if r.get("metadata"):
-        sections.append(("META", _metadata(r["metadata"])))
+        sections.append(("META", _metadata(r["metadata"]) if metadata is None else metadata))
     if t := r.get("tempo"):
-        listed = sorted(t["candidates"], key=lambda c: -c["score"])  # an endorsed candidate may stand first with a lower score
-        sections.append(("TEMP", L.TEMPO.pack(t | {"payload_version": 1, "candidate_count": len(listed)}) + b"".join(L.CANDIDATE.pack(c) for c in listed)))
+        # an endorsed candidate may stand first with a lower score
+        candidates = t["candidates"] if listed else sorted(t["candidates"], key=lambda c: -c["score"])
+        sections.append(("TEMP", L.TEMPO.pack(t | {"payload_version": 1, "candidate_count": len(candidates)}) + b"".join(L.CANDIDATE.pack(c) for c in candidates)))
     if g := r.get("local"):
         sections.append(("LGRD", L.LOCAL.pack(g | {"payload_version": 1, "representation": SEGMENTS, "segment_count": 1})))
     if g := r.get("grid"):
@@ -107,7 +112,7 @@ def write(r: dict) -> bytes:
         body += [b"\0" * pad, data]
         entries.append(L.DIRECTORY.pack({"fourcc": name.encode(), "version": 1, "flags": L.REQUIRED if name == "WOVR" else 0, "offset": at, "stored": len(data), "logical": len(data), "crc": L.crc32c(data)}))
         at += len(data)
-    flags = (0 if finality(r) else L.PARTIAL_RESULT) | (0 if known else L.DURATION_UNKNOWN | L.PARTIAL_RESULT)
+    flags = (0 if finality(r, check) else L.PARTIAL_RESULT) | (0 if known else L.DURATION_UNKNOWN | L.PARTIAL_RESULT)
     head = L.HEAD.pack(
         {
             "magic": L.MAGIC, "header_size": L.HEADER, "container_version": L.CONTAINER_VERSION, "spec_major": L.SPEC_MAJOR, "spec_minor": L.SPEC_MINOR, "producer_version": s.get("producer_version", 1 << 22), "flags": flags,
@@ -182,13 +187,13 @@ def _checked(record: L.Record, data: bytes, at: int, strict: bool) -> dict:
     return {k: x for k, x in v.items() if not k.startswith("_")}
 
 
-def _columns(data: bytes, at: int, n: int) -> list[dict]:
+def _columns(data: bytes, at: int, n: int) -> np.ndarray:
     _need(0 <= at and at + n * L.COLUMN.size <= len(data), "columns out of bounds")
-    out = [L.COLUMN.unpack(data, at + i * L.COLUMN.size) for i in range(n)]
-    for c in out:
-        _need(c["flags"] & 1 and c["minimum"] <= c["maximum"], "column")
-        _need(c["flags"] < 32, "column flags", "unsupported")
-        _need(c["flags"] & 8 or not (c["low"] or c["mid"] or c["high"]), "bands without their flag")
+    out = np.frombuffer(data, L.COLUMN_TYPE, n, at)
+    _need(bool(((out["flags"] & 1 == 1) & (out["minimum"] <= out["maximum"])).all()), "column")
+    _need(bool((out["flags"] < 32).all()), "column flags", "unsupported")
+    bands = (out["low"] | out["mid"] | out["high"]) != 0
+    _need(not (bands & (out["flags"] & 8 == 0)).any(), "bands without their flag")
     return out
 
 
@@ -342,16 +347,19 @@ def encoded(columns: DataFrame, totals: DataFrame, sample_rate: int, frames: int
     """(track_id, content): a container with the overview of each track; columns of a track meet in one task, as its file does."""
     key = dict(columns.dtypes)["track_id"]
     rows = columns.join(totals, "track_id")
+    names = ("minimum", "maximum", "rms", "flags")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("column_index")
-        total = int(pdf["total_frames"].iloc[0])
-        run_of = (pdf["column_index"].diff() != 1).cumsum()
+        total, index = int(pdf["total_frames"].iloc[0]), pdf["column_index"].to_numpy()
+        cols = np.zeros(len(pdf), L.COLUMN_TYPE)
+        for c in names:
+            cols[c] = pdf[c].to_numpy()
+        cuts = np.flatnonzero(np.diff(index) != 1) + 1
         spans = []
-        for _, part in pdf.groupby(run_of):
-            first, last = int(part["column_index"].iloc[0]), int(part["column_index"].iloc[-1])
-            cols = [{"minimum": int(r.minimum), "maximum": int(r.maximum), "rms": int(r.rms), "flags": int(r.flags)} for r in part.itertuples()]
-            spans.append({"first_frame": first * frames, "end_frame": min((last + 1) * frames, total), "first_column": first, "columns": cols})
+        for at, part in zip(np.split(index, cuts), np.split(cols, cuts), strict=True):
+            first, last = int(at[0]), int(at[-1])
+            spans.append({"first_frame": first * frames, "end_frame": min((last + 1) * frames, total), "first_column": first, "columns": part})
         have, want = len(pdf), -(-total // frames)
         overview = {"frames_per_column": frames, "column_count": want, "state": FINAL if have == want else 3, "confidence": have * 100 // want, "spans": spans}
         source = {"sample_rate": sample_rate, "channels": 1, "layout": 1, "total_frames": total}
@@ -383,15 +391,18 @@ def decoded_columns(files: DataFrame, key: str, strict: bool = True) -> DataFram
     """The overview columns of each file (``key``, content)."""
     kind = dict(files.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, content in zip(pdf[key], pdf["content"], strict=True):
-                for s in read(bytes(content), strict)["overview"]["spans"]:
-                    out += [(k, s["first_column"] + i, c["minimum"], c["maximum"], c["rms"], c["flags"]) for i, c in enumerate(s["columns"])]
-            yield pd.DataFrame(out, columns=[key, "column_index", "minimum", "maximum", "rms", "flags"])
+    names = ("minimum", "maximum", "rms", "flags")
 
-    return files.select(key, "content").mapInPandas(run, f"{key} {kind}, column_index long, minimum int, maximum int, rms int, flags int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            for i, content in enumerate(batch.column(1)):
+                for s in read(content.as_py(), strict)["overview"]["spans"]:
+                    cols = s["columns"]
+                    at = pa.array(s["first_column"] + np.arange(len(cols)))
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.full(len(cols), i))), at, *(pa.array(cols[c].astype(np.int32)) for c in names)], names=[key, "column_index", *names])
+
+    return files.select(key, "content").mapInArrow(run, f"{key} {kind}, column_index long, minimum int, maximum int, rms int, flags int")
 
 
 def crc32c_of(content) -> object:
@@ -404,42 +415,11 @@ def crc32c_of(content) -> object:
     return run(content)
 
 
-class ContainerSource(DataSource):
-    """``spark.read.format("result_container").option("path", glob)``: the sections of container files, a task for each file."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "result_container"
-
-    def schema(self) -> str:
-        return "path string, section string, offset long, size long, crc long, error string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.pattern, self.strict = options["path"], options.get("strict", "true") == "true"
-
-    def partitions(self):
-        import glob
-
-        return [InputPartition(p) for p in sorted(glob.glob(self.pattern))] or [InputPartition(None)]
-
-    def read(self, partition):
-        if partition.value is None:
-            return
-        with open(partition.value, "rb") as f:
-            data = f.read()
-        try:
-            read(data, self.strict)
-            for e in sections(data, self.strict)[1]:
-                yield (partition.value, e["name"], e["offset"], e["stored"], e["crc"], None)
-        except ContainerError as e:
-            yield (partition.value, None, None, None, None, e.code)
-
-
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of container files, by Spark's own binary reader: any store that Spark reads."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def scan(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """(path, section, offset, size, crc, error) of all container files below ``path``."""
+    return inspected(files(spark, path), "path", strict)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
+
 # The container's magic, as the bytes of its definition, its versions and limits.
 MAGIC = bytes([0x41, 0x50, 0x54, 0x41])
 CONTAINER_VERSION, SPEC_MAJOR, SPEC_MINOR = 1, 1, 0
@@ -54,19 +56,57 @@ SEGMENT = Record("first_frame:Q end_frame:Q anchor_whole:Q anchor_frac:I _a:I an
 BEAT = Record("whole:Q frac_q32:I _a:I ordinal:q revision:I flags:I confidence:B _r:7s")
 REVISION = Record("payload_version:H state:B confidence:B flags:I revision:I previous:I representation:I segment_count:I beat_count:I _a:I first_frame:Q end_frame:Q _r:32s")
 
-_CRC = []
-for _n in range(256):
+#: A column as an array element: the same bytes as COLUMN.
+COLUMN_TYPE = np.dtype([("minimum", "<i2"), ("maximum", "<i2"), ("rms", "<u2"), ("low", "u1"), ("mid", "u1"), ("high", "u1"), ("flags", "u1")])
+
+
+def columns(values) -> np.ndarray:
+    """Columns, given as an array or as dicts, as an array."""
+    if isinstance(values, np.ndarray):
+        return values
+    out = np.zeros(len(values), COLUMN_TYPE)
+    for name in COLUMN_TYPE.names:
+        out[name] = [v.get(name, 0) for v in values]
+    return out
+
+
+_POLYNOMIAL = 0x82F63B78
+
+
+def _byte_table() -> np.ndarray:
+    r = np.arange(256, dtype=np.uint32)
     for _ in range(8):
-        _n = _n >> 1 ^ (0x82F63B78 if _n & 1 else 0)
-    _CRC.append(_n)
+        r = (r >> 1) ^ np.where(r & 1, np.uint32(_POLYNOMIAL), np.uint32(0))
+    return r
+
+
+#: _AHEAD[k][j]: what byte j of a register becomes once 2**k zero bytes have gone by; registers are linear in their bits.
+_BYTE = _byte_table()
+_AHEAD: list[np.ndarray] = []
+
+
+def _advance(r: np.ndarray, k: int) -> np.ndarray:
+    """Registers after 2**k zero bytes."""
+    while len(_AHEAD) <= k:
+        one = np.arange(256, dtype=np.uint32)[None, :] << np.uint32(8) * np.arange(4, dtype=np.uint32)[:, None]
+        _AHEAD.append((one >> 8) ^ _BYTE[one & 0xFF] if not _AHEAD else _advance(_advance(one, len(_AHEAD) - 1), len(_AHEAD) - 1))
+    t = _AHEAD[k]
+    return t[0][r & 0xFF] ^ t[1][r >> 8 & 0xFF] ^ t[2][r >> 16 & 0xFF] ^ t[3][r >> 24]
 
 
 def crc32c(data: bytes) -> int:
-    """The Castagnoli CRC, reflected."""
-    c = 0xFFFFFFFF
-    for b in data:
-        c = c >> 8 ^ _CRC[(c ^ b) & 0xFF]
-    return c ^ 0xFFFFFFFF
+    """The Castagnoli CRC, reflected: registers of single bytes, joined in pairs until one is left."""
+    n, levels = len(data), max(0, len(data) - 1).bit_length()
+    r = np.zeros(1 << levels, np.uint32)
+    if n:
+        r[-n:] = _BYTE[np.frombuffer(data, np.uint8)]  # zeros before the first byte change nothing
+    for k in range(levels):
+        r = _advance(r[0::2], k) ^ r[1::2]
+    start = np.array([0xFFFFFFFF], np.uint32)
+    for k in range(n.bit_length()):
+        if n >> k & 1:
+            start = _advance(start, k)
+    return int(r[0] ^ start[0]) ^ 0xFFFFFFFF if n else 0
 
 
 class CborError(ValueError):

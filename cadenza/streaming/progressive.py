@@ -12,9 +12,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import MAX_PUSH_FRAMES
+from ..functions.ranges import Accepted
 from ..operators import waveform
 
 
@@ -34,40 +35,16 @@ def snapshot(spark: SparkSession, root: str, frames: int, total: DataFrame | int
     return waveform.finalized(waveform.complete(waveform.merged(parts), frames, total))
 
 
-def _insert(ranges: list[list[int]], first: int, end: int) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted([*ranges, [first, end]]):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
-
-
-def accept(ranges: list[list[int]], first: int, count: int, limit: int = MAX_PUSH_FRAMES) -> tuple[list[list[int]], int, str]:
-    """A block against the accepted ranges: the longest prefix that overlaps none counts; one that starts inside is a conflict."""
-    if count <= 0:
-        return ranges, 0, "INVALID"
-    end = first + min(count, limit)
-    for a, b in ranges:
-        if a <= first < b:
-            return ranges, 0, "CONFLICT"
-        if first < a < end:
-            end = a
-    return _insert(ranges, first, end), end - first, "OK"
-
-
 def accepted_blocks(blocks: DataFrame, key: str = "string") -> DataFrame:
     """A stream (track_id, first_frame, frame_count, serial) to (track_id, serial, accepted, status, contiguous_end), in order of ``serial`` inside a batch."""
 
     def run(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ranges = [list(x) for x in zip(*state.get, strict=True)] if state.exists else []
+        held = Accepted(*state.get) if state.exists else Accepted()
         out = []
         for r in pd.concat(list(pdfs)).sort_values("serial").itertuples():
-            ranges, n, status = accept(ranges, int(r.first_frame), int(r.frame_count))
-            reach = ranges[0][1] if ranges and ranges[0][0] == 0 else 0
-            out.append((k[0], int(r.serial), n, status, reach))
-        state.update(([a for a, _ in ranges], [b for _, b in ranges]))
+            n, status = held.push(int(r.first_frame), int(r.frame_count))
+            out.append((k[0], int(r.serial), n, status, held.contiguous_end))
+        state.update((held.firsts, held.ends))
         yield pd.DataFrame(out, columns=["track_id", "serial", "accepted", "status", "contiguous_end"])
 
     return blocks.groupBy("track_id").applyInPandasWithState(
@@ -76,14 +53,25 @@ def accepted_blocks(blocks: DataFrame, key: str = "string") -> DataFrame:
 
 
 def publish(spark: SparkSession, result: DataFrame, root: str, keys: list[str]) -> int | None:
-    """Append ``result`` as the next generation of ``root``; None, and nothing written, where it equals the newest one."""
-    from pyspark.sql import functions as F
+    """Append ``result`` as the next generation of ``root``; None, and nothing written, where it equals the newest one.
 
+    A generation counts once its writer has left the marker of a whole write; what a broken-off write left behind is
+    written over by the next one.
+    """
+    have = generations(spark, root)
+    content = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(d.columns)).cast("decimal(38,0)")).alias("h")).first()
+    if have:
+        newest = spark.read.parquet(f"{root}/generation={have[-1]}")
+        if sorted(newest.columns) == sorted(result.columns) and content(result) == content(newest):
+            return None
+    number = have[-1] + 1 if have else 1
+    result.write.mode("overwrite").parquet(f"{root}/generation={number}")
+    return number
+
+
+def generations(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of the generations that were written whole."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    have = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if "=" in s.getPath().getName()) if fs.exists(path) else []
-    content = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(d.columns)).cast("decimal(38,0)")).alias("h")).first()
-    if have and content(result) == content(spark.read.parquet(f"{root}/generation={have[-1]}")):
-        return None
-    result.write.mode("overwrite").parquet(f"{root}/generation={have[-1] + 1 if have else 1}")
-    return have[-1] + 1 if have else 1
+    names = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(p.getName().split("=")[1]) for p in names if p.getName().startswith("generation=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))

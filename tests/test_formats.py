@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from cadenza.config import FINAL, Geometry
+from cadenza.functions import ranges
 from cadenza.operators import corpus, coverage, scheduler
 from cadenza.sources import audio, beatfiles, container
 from cadenza.sources import layout as L
@@ -102,11 +105,10 @@ def test_cbor():
             L.cbor_value(bad)
 
 
-def test_container_source(spark, tmp_path):
+def test_container_scan(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(container.write(FULL))
     (tmp_path / "b.bin").write_bytes(b"nonsense")
-    spark.dataSource.register(container.ContainerSource)
-    rows = spark.read.format("result_container").option("path", f"{tmp_path}/*.bin").load().collect()
+    rows = container.scan(spark, f"file://{tmp_path}/*.bin").collect()
     assert sorted((r.section or "") for r in rows) == sorted([*L.ORDER, ""])
     same = container.inspected(container.files(spark, f"file://{tmp_path}/*.bin"), "path").filter("error is null").count()
     assert same == 7
@@ -153,13 +155,70 @@ def test_track_list(spark):
 
 
 def test_acceptance():
-    r, n, s = progressive.accept([], 0, 100)
-    assert (n, s) == (100, "OK")
-    assert progressive.accept(r, 50, 10)[1:] == (0, "CONFLICT")
-    r, n, s = progressive.accept(r, 200, 100)
-    r, n, s = progressive.accept(r, 100, 500)
-    assert (n, s, r) == (100, "OK", [[0, 300]])
-    assert progressive.accept(r, 5000, 9999)[1] == 4096 and progressive.accept(r, 0, 0)[2] == "INVALID"
+    held = ranges.Accepted()
+    assert held.push(0, 100) == (100, "OK")
+    assert held.push(50, 10) == (0, "CONFLICT")
+    assert held.push(200, 100) == (100, "OK") and held.contiguous_end == 100
+    assert held.push(100, 500) == (100, "MORE_WORK")
+    assert (held.firsts, held.ends, held.contiguous_end) == ([0], [300], 300)
+    assert held.push(5000, 9999) == (4096, "MORE_WORK") and held.push(0, 0) == (0, "INVALID")
+
+
+def plain_acceptance(blocks: list[tuple[int, int]]) -> list[tuple[int, str]]:
+    """Block by block, frame by frame."""
+    taken, out = set(), []
+    for first, end in blocks:
+        if first >= end or first < 0:
+            out.append((0, "INVALID"))
+        elif first in taken:
+            out.append((0, "CONFLICT"))
+        else:
+            n = 0
+            while first + n < end and n < 20 and first + n not in taken:
+                n += 1
+            taken.update(range(first, first + n))
+            out.append((n, "OK" if first + n == end else "MORE_WORK"))
+    return out
+
+
+def test_acceptance_by_regions(spark):
+    """A block that meets only rejected ones is taken; regions give what one fold over a track gives."""
+    chain = [(0, 10), (5, 20), (15, 25)]
+    assert [s for _, s in plain_acceptance(chain)] == ["OK", "CONFLICT", "OK"]
+    rng = np.random.default_rng(5)
+    some = [(int(f), int(f + n)) for f, n in zip(rng.integers(-3, 400, 120), rng.integers(0, 40, 120), strict=True)]
+    tracks = {"a": chain, "b": some, "c": [(0, 1 << 20), ((1 << 18) - 5, (1 << 18) + 5)]}
+    rows = [(i, t, f, e) for t, blocks in tracks.items() for i, (f, e) in enumerate(blocks)]
+    df = spark.createDataFrame(rows, "request_id long, track_id string, first_frame long, end_frame long")
+    got = {(r.track_id, r.request_id): (r.accepted_frames, r.status) for r in coverage.acceptance(df, limit=20).collect()}
+    assert got == {(t, i): x for t, blocks in tracks.items() for i, x in enumerate(plain_acceptance(blocks))}
+
+
+def test_one_track_of_many_ranges(spark):
+    """All rows in one track, over many stretches: range joins against plain loops, equal requests kept apart."""
+    rng = np.random.default_rng(6)
+    size = 1 << 18
+    have = [(int(a), int(a) + int(n)) for a, n in zip(np.arange(60) * size // 2, rng.integers(1, size // 3, 60), strict=True)]
+    want = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 30 * size, 80), rng.integers(1, 3 * size, 80), strict=True)]
+    want += want[:5]
+    cols = "track_id string, first_frame long, end_frame long"
+    accepted, requests = spark.createDataFrame([("t", *r) for r in have], cols), spark.createDataFrame([("t", *r) for r in want], cols)
+
+    def gap(first, end):
+        at = first
+        for a, b in have:
+            if a <= at < b:
+                at = b
+        return (None, None) if at >= end else (at, min([a for a, _ in have if a > at and a < end], default=end))
+
+    got = sorted((r.first_frame, r.end_frame, r.missing_first or -1, r.missing_end or -1) for r in coverage.first_missing(requests, accepted).collect())
+    assert got == sorted((f, e, *(x or -1 for x in gap(f, e))) for f, e in want)
+    columns = spark.createDataFrame([("t", c) for a, b in have for c in range(a // 1024 + 1, b // 1024)], "track_id string, column_index long")
+    there = {r.column_index for r in columns.collect()}
+    states = Counter((r.first_frame, r.end_frame, r.permille) for r in scheduler.progress(requests, columns, 1024).collect())
+    below = lambda f, e: range(f // 1024, (e - 1) // 1024 + 1)
+    share = lambda f, e: 1000 if all(c in there for c in below(f, e)) else 500 if any(c in there for c in below(f, e)) else 0
+    assert states == Counter((f, e, share(f, e)) for f, e in want)
 
 
 def test_generations(spark, tmp_path):
@@ -168,6 +227,10 @@ def test_generations(spark, tmp_path):
     assert progressive.publish(spark, df, root, ["id"]) == 1
     assert progressive.publish(spark, df, root, ["id"]) is None
     assert progressive.publish(spark, spark.range(6), root, ["id"]) == 2
+    # a generation without its marker doesn't count
+    (tmp_path / "g" / "generation=2" / "_SUCCESS").unlink()
+    assert progressive.generations(spark, root) == [1] and progressive.publish(spark, spark.range(7), root, ["id"]) == 2
+    assert spark.read.parquet(f"{root}/generation=2").count() == 7
 
 
 def test_coverage_of_duplicates_and_touching_blocks(spark):
@@ -183,9 +246,35 @@ def test_ranking_order(spark):
 
 
 def test_split_keeps_both_parts(spark):
-    rows = spark.createDataFrame(pd.DataFrame({"track": range(40), "stratum": ["a"] * 38 + ["b"] * 2}))
+    rows = spark.createDataFrame(pd.DataFrame({"track": range(41), "stratum": ["a"] * 38 + ["b"] * 2 + ["lone"]}))
     got = corpus.split(rows, "s").groupBy("stratum", "fold").count().collect()
-    assert {(r.stratum, r.fold, r["count"]) for r in got} == {("a", "holdout", 10), ("a", "development", 28), ("b", "holdout", 1), ("b", "development", 1)}
+    assert {(r.stratum, r.fold, r["count"]) for r in got} == {("a", "holdout", 10), ("a", "development", 28), ("b", "holdout", 1), ("b", "development", 1), ("lone", "development", 1)}
+    held = {r.track for r in corpus.split(rows, "s").filter("fold = 'holdout' and stratum = 'a'").collect()}
+    order = sorted(range(38), key=lambda t: hashlib.sha256(f"s\0{t}".encode()).hexdigest())
+    assert held == set(order[:10])
+
+
+def corpus_table(spark, rows):
+    return spark.createDataFrame([(t, "x", truth, reported, c) for t, truth, reported, c in rows], "track long, stratum string, truth long, reported long, confidence long")
+
+
+def test_summary_counts_relations(spark):
+    """An error a little over one per cent is no hit, nothing reported is no near hit, and a share of nothing is null."""
+    rows = corpus_table(spark, [(1, 100_000_000, 101_000_500, 90), (2, 120_000, 120_000, 80), (3, 120_000, 60_000, 76), (4, 120_000, 0, 40), (5, 100_000, 100_100, 60)])
+    r = corpus.summary(rows).first()
+    assert (r.tracks, r.within_1pct, r.within_01pct, r.octave_errors, r.other_errors, r.high_confidence_errors, r.high_confidence_octave_errors) == (5, 2, 2, 1, 2, 2, 1)
+    assert (r.mean_confidence_correct_e3, r.median_drift_e6) == (70_000, 5_000_000)
+    sweep = {x.gate: x for x in corpus.thresholds(rows).collect()}
+    assert (sweep[95].admitted, sweep[95].precision_ppm, sweep[75].octave_errors, sweep[75].precision_ppm) == (0, None, 1, 333_333)
+    assert corpus.thresholds(rows.filter("track = 4")).first().recall_ppm is None
+
+
+def test_results_of_other_tracks_are_refused(spark):
+    base = corpus_table(spark, [(1, 120_000, 120_000, 80), (2, 120_000, 60_000, 80)])
+    assert corpus.compared(base, base).first().unchanged == 2
+    for other in (base.filter("track = 1"), base.union(base.filter("track = 1")), base.withColumn("track", base.track + 1)):
+        with pytest.raises(Exception, match="track"):
+            corpus.compared(base, other).collect()
 
 
 def test_geometry_lags():

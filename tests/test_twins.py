@@ -30,12 +30,12 @@ def plain(v):
 def test_twin(spark, sf_dir, db, name):
     df = catalog.QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
-    got = sorted(tuple(plain(v) for v in r) for r in df.select(*cols).collect())
+    got = sorted((tuple(plain(v) for v in r) for r in df.select(*cols).collect()), key=str)
     out = db.execute(catalog.ORACLE_SQL[name])
     names = [d[0] for d in out.description]
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
-    want = sorted(tuple(plain(r[i]) for i in at) for r in out.fetchall())
+    want = sorted((tuple(plain(r[i]) for i in at) for r in out.fetchall()), key=str)
     assert got == want
 
 
