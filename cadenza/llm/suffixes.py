@@ -3,12 +3,13 @@
 Of all suffixes (at word starts) only those at minimiser positions are kept: in every window of
 ``min_words - gram_words + 1`` consecutive word grams the one with the least hash.  Two documents that
 share ``min_words`` words therefore keep the same suffixes inside the passage.  Suffixes whose gram occurs
-once can't match and go; the others get the words before and after the gram as context, are sorted
-globally by (gram, words after, words before) and compared with their neighbours of the same gram: two
-match over ``min_words`` words where the words they share before and after the gram, extended left and
-right, make up that length.  A longer match is the union of such windows at its several minimisers.  Of
-equal windows the one with the least (doc_id, place) is the first; a word goes only where an equal one stays
-at a lesser place, so a copy of every passage is left.
+once can't match and go; the others get the words before and after the gram as context and are sorted globally
+by (gram, words after).  Neighbours in that order are compared: the words that they share after the gram tell
+for every length which suffixes agree so far to the right.  The same order by the words before, from the nearest
+on, extends matches to the left.  Two suffixes match over ``min_words`` words where they agree over some words
+before the gram and the rest of the length after it.  A longer match is the union of such windows at its several
+minimisers.  Of equal windows the one with the least (doc_id, place) is the first; a word goes only where an equal
+one stays at a lesser place, so a copy of every passage is left.
 
 The neighbours of a gram are compared all together as long as there are ``block_rows`` of them at most.
 A hotter gram's suffixes would fill one task; there every window of ``min_words`` words whose minimiser is
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, checkpointed, chunks, column
-from .vectext import U, Texts, mix, ngram_hash
+from .vectext import Texts, ngram_hash
 
 
 @dataclass(frozen=True)
@@ -152,7 +153,7 @@ def contexts(held: DataFrame, rules: SuffixRules) -> DataFrame:
             row, pos = row[fits], pos[fits]
             at = first[row] + pos
             gram, _ = ngram_hash(h, doc, k)
-            prints = (h >> np.uint64(32)).astype("<u4")
+            prints = (h >> np.uint64(32)).astype(">u4")  # bytes in the order of numbers: Spark sorts by them
             step = np.arange(w)
             after, before = at[:, None] + k + step, at[:, None] - 1 - step
             ra, rb = np.minimum(w, size[row] - pos - k), np.minimum(w, pos)
@@ -167,13 +168,22 @@ def contexts(held: DataFrame, rules: SuffixRules) -> DataFrame:
     return held.mapInArrow(run, "gram long, after binary, before binary, doc_id long, pos int")
 
 
-def _prefixes(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the first 0 to ``width`` words of each, and the numbers of words."""
-    words = np.frombuffer(b"".join(x.ljust(4 * width, b"\0") for x in blobs), "<u4").reshape(len(blobs), width)
-    out = np.zeros((len(blobs), width + 1), np.uint64)
-    for k in range(width):
-        out[:, k + 1] = mix(out[:, k] * U(0x9E3779B97F4A7C15) + words[:, k].astype(np.uint64) + U(k + 1))
-    return out, np.array([len(x) // 4 for x in blobs])
+def _matrix(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``width`` words, and how many of them each has."""
+    words = np.frombuffer(b"".join(x.ljust(4 * width, b"\0") for x in blobs), ">u4").reshape(len(blobs), width)
+    return words.astype(np.uint32), np.array([len(x) // 4 for x in blobs])
+
+
+def _agreement(gram: np.ndarray, words: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For rows in sorted ``order``, numbers that are equal where rows of one gram agree in their first 0, 1, ... words: from the words that neighbours share."""
+    n, width = words.shape
+    a, b = words[order[:-1]], words[order[1:]]
+    differ = a != b
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    shared[gram[order[1:]] != gram[order[:-1]]] = -1
+    out = np.zeros((n, width + 1), np.int64)
+    out[order[1:]] = np.cumsum(shared[:, None] < np.arange(width + 1), axis=0)
+    return out
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,35 +193,41 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, lo, hi
 
 
-def matches(gram, after, before, doc, pos, rules: SuffixRules) -> list[tuple[int, int, int, bool, int]]:
-    """Spans (doc, start, end, first, other): the windows of ``min_words`` words around each gram that another of the rows has, joined."""
-    n, rest = len(gram), rules.min_words - rules.gram_words
+def matches(gram, after, before, doc, pos, rules: SuffixRules, presorted: bool = False) -> list[tuple[int, int, int, bool, int]]:
+    """Spans (doc, start, end, first, other): the windows of ``min_words`` words around each gram that another of the rows has, joined.
+
+    ``presorted`` rows come in the order of gram and words after it.
+    """
+    rest = rules.min_words - rules.gram_words
     _, back, count = np.unique(gram, return_inverse=True, return_counts=True)
     keep = np.flatnonzero(count[back] > 1)
     if not len(keep):
         return []
     order = keep[np.lexsort((pos[keep], doc[keep]))]  # by place, so that the first of equal windows is the least
-    gram, doc, pos = gram[order].view(np.uint64), doc[order], pos[order]
-    ha, ra = _prefixes([after[i] for i in order], rest)
-    hb, rb = _prefixes([before[i] for i in order], rest)
+    gram, doc, pos = gram[order], doc[order], pos[order]
+    right, ra = _matrix([after[i] for i in order], rest)
+    left, rb = _matrix([before[i] for i in order], rest)
     n = len(order)
+    sort = lambda words: np.lexsort((*words.T[::-1], gram))
+    ahead = _agreement(gram, right, np.argsort(order, kind="stable") if presorted else sort(right))
+    behind = _agreement(gram, left, sort(left))
     later, first = np.zeros((n, rest + 2), bool), np.zeros((n, rest + 2), bool)
     other = np.full(n, np.iinfo(np.int64).max)
-    for left in range(rest + 1):  # words of the window before the gram
-        at = np.flatnonzero((rb >= left) & (ra >= rest - left))
-        key = mix(gram[at] ^ mix(hb[at, left] + U(1))) ^ mix(ha[at, rest - left] + U(2))
+    for k in range(rest + 1):  # words of the window before the gram
+        at = np.flatnonzero((rb >= k) & (ra >= rest - k))
+        key = ahead[at, rest - k] * n + behind[at, k]
         _, head, back, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         mine, theirs = at, at[head[back]]
         # a text matches itself only without overlap
         good = (mine != theirs) & ((doc[mine] != doc[theirs]) | (pos[mine] - pos[theirs] >= rules.min_words))
         mine, theirs = mine[good], theirs[good]
-        later[mine, left] = True
-        first[theirs, left] = True
+        later[mine, k] = True
+        first[theirs, k] = True
         np.minimum.at(other, mine, doc[theirs])
         np.minimum.at(other, theirs, doc[mine])
     out = []
     for flags, is_first in ((first, True), (later, False)):
-        row, lo, hi = _runs(flags[:, : rest + 1])  # runs of windows: left from lo to hi - 1
+        row, lo, hi = _runs(flags[:, : rest + 1])  # runs of windows: words before the gram from lo to hi - 1
         start, end = pos[row] - (hi - 1), pos[row] - lo + rules.min_words
         out += zip(doc[row].tolist(), start.tolist(), end.tolist(), [is_first] * len(row), other[row].tolist(), strict=True)
     return out
@@ -226,7 +242,7 @@ def neighbours(ordered: DataFrame, rules: SuffixRules) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(cols):
-            spans = matches(np.array(cols[0]), cols[1], cols[2], np.array(cols[3]), np.array(cols[4]), rules) if cols[0] else []
+            spans = matches(np.array(cols[0]), cols[1], cols[2], np.array(cols[3]), np.array(cols[4]), rules, presorted=True) if cols[0] else []
             if spans:
                 d, s, e, f, o = zip(*spans, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(f), pa.array(o, pa.int64())], names=["doc_id", "start", "end", "first", "other"])
@@ -259,7 +275,7 @@ def matched(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
     places = checkpointed(suffix_rows(docs, rules, known).join(twice.filter("not hot"), "gram").groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
     held = docs.join(places, "doc_id")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = neighbours(contexts(held, rules).repartitionByRange(parts, "gram").sortWithinPartitions("gram"), rules)
+    found = neighbours(contexts(held, rules).repartitionByRange(parts, "gram").sortWithinPartitions("gram", "after"), rules)
     return found.union(hot_matches(docs, known, rules)) if len(hot) else found
 
 

@@ -307,6 +307,28 @@ def test_hot_grams_miss_no_shared_run(spark):
         assert {i for i, r in got.items() if not places(r.removable)} == set(range(10))  # the first text of each lead keeps the passage
 
 
+def test_matches_of_sorted_suffixes_extend_both_ways():
+    """Suffixes of one gram, in any order: two match where what they share before and after the gram makes up the length."""
+    rng, rules = random.Random(23), suffixes.SuffixRules()
+    lead, trail = words(rng, 30, 50), words(rng, 30, 50)
+    rows = []
+    for i in range(200):
+        k, m = rng.randrange(31), rng.randrange(31)
+        rows.append((i // 2, 1000 * (i % 2) + 100, words(rng, 30 - k, 9) + lead[30 - k :], trail[:m] + words(rng, 30 - m, 9)))
+    number = {w: n + 1 for n, w in enumerate(sorted({w for r in rows for w in r[2] + r[3]}))}
+    blob = lambda ws: b"".join(number[w].to_bytes(4, "big") for w in ws)
+    want: dict = {}
+    for d, p, b, a in rows:
+        for k in range(31):
+            window = (*b[30 - k :], *a[: 30 - k])
+            want.setdefault((k, window), []).append((d, p, k))
+    shared = {(d, x) for (k, _), at in want.items() if len({d for d, *_ in at}) > 1 or len(at) > 1 for d, p, _ in at for x in range(p - k, p - k + 50)}
+    for order in (rows, sorted(rows, key=lambda r: blob(r[3]))):
+        doc, pos = (np.array([r[c] for r in order]) for c in (0, 1))
+        got = suffixes.matches(np.full(len(order), 7), [blob(r[3]) for r in order], [blob(r[2][::-1]) for r in order], doc, pos, rules, presorted=order is not rows)
+        assert {(d, x) for d, s, e, _, _ in got for x in range(s, e)} == shared
+
+
 def test_removable_spans_leave_a_copy(spark):
     """Whatever is removed, every shared run stays somewhere."""
     rows = [(i, t, x, s) for i, t, x, s in copies(11)]
