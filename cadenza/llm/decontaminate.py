@@ -33,7 +33,7 @@ class LeakRules:
     shingle_words: int = 5
     similarity: float = 0.8
     radius: int = 15
-    #: Rows of the benchmark's shingle table up to which it is broadcast; beyond that the join shuffles.
+    #: Rows of the benchmark's shingle table, and ids of documents with windows, up to which they are broadcast; beyond that joins shuffle.
     broadcast_rows: int = 1_000_000
 
 
@@ -89,7 +89,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules())
     enough = F.col("shared") >= F.ceil(F.lit(s / (1 + s)) * (held + F.col("n")) - 1e-6)
     windows = starts.groupBy("doc_id", "size", "n", "n_words", "start").agg(F.count("*").alias("shared")).filter(enough)
     per_doc = checkpointed(windows.groupBy("doc_id").agg(F.collect_list(F.struct("size", "n", "start")).alias("windows")))
-    cut = prepared.join(per_doc, "doc_id").select("doc_id", "h", F.explode("windows").alias("w"))
+    # few documents have such windows: the others' texts go before anything is made of them once more
+    found = F.broadcast(per_doc.select("doc_id")) if per_doc.count() <= rules.broadcast_rows else per_doc.select("doc_id")
+    again = _prepare(docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(found, "doc_id", "left_semi"), "doc_id", rules)
+    cut = again.join(per_doc, "doc_id").select("doc_id", "h", F.explode("windows").alias("w"))
     both = F.expr(f"element_at(transform(array(slice(h, w.start + 1, w.n)), h -> struct({_SIMHASH} as fp, {_ELEMENTS} as e)), 1)")
     marked = checkpointed(cut.select("doc_id", F.col("w.start").alias("start_word"), F.col("w.size").alias("size"), both.alias("b")).select("doc_id", "start_word", "size", "b.fp", "b.e"))
     part = F.expr(f"cast(shiftrightunsigned(fp, block * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}L as int)")
