@@ -224,7 +224,7 @@ def _relabelled(label: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
-    """(doc_id, class_id, n_links): one row for each document; ``class_id`` is the smallest id of its class, ``n_links`` the verified links found at its text."""
+    """(doc_id, class_id, text_id, n_links): one row for each document; ``class_id`` is the smallest id of its class, ``text_id`` that of the documents with the same multiset of shingles, and ``n_links`` the number of verified links of that text that hold the class together."""
     base = checkpointed(sketches(docs, rules).groupBy("doc_id").agg(F.min(F.struct("cls", "bands")).alias("s")).select("doc_id", "s.cls", "s.bands"))
     classes = base.groupBy("cls").agg(F.min(F.struct("doc_id", "bands")).alias("s")).select(F.col("s.doc_id").alias("doc"), "s.bands")
     rows = classes.select("doc", F.explode("bands").alias("bucket"))
@@ -261,10 +261,10 @@ def near_classes(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     if not both.isEmpty():
         verify(left_over(both, held, rules.similarity))
     degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
-    of_class = base.groupBy("cls").agg(F.min("doc_id").alias("doc")).join(label, "doc", "left").join(degree, "doc", "left").select("cls", F.coalesce("comp", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    worded = base.select("doc_id", "cls").join(of_class, "cls").select("doc_id", "class_id", "n_links")
+    of_class = base.groupBy("cls").agg(F.min("doc_id").alias("doc")).join(label, "doc", "left").join(degree, "doc", "left").select("cls", F.col("doc").alias("text_id"), F.coalesce("comp", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    worded = base.select("doc_id", "cls").join(of_class, "cls").select("doc_id", "class_id", "text_id", "n_links")
     every = docs.select(F.col("doc_id").cast("long")).filter("doc_id is not null").distinct()
-    return every.join(worded, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return every.join(worded, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:

@@ -29,7 +29,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_classes(documents(spark, sf_dir)).select("doc_id", "class_id")
+    return minhash.near_classes(documents(spark, sf_dir)).drop("n_links")
 
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,13 +114,14 @@ ORACLE_SQL: dict[str, str] = {
       z AS (SELECT doc_id, kind, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, kind, island)
       SELECT doc_id, sum(b - a) FILTER (kind = 'a')::BIGINT AS n_repeated, coalesce(sum(b - a) FILTER (kind = 'r'), 0)::BIGINT AS n_removable,
       string_agg(a || ':' || b, ',' ORDER BY a) FILTER (kind = 'a') AS repeated, coalesce(string_agg(a || ':' || b, ',' ORDER BY a) FILTER (kind = 'r'), '') AS removable FROM z GROUP BY doc_id""",
-    # components of all pairs with a weighted Jaccard similarity of 0.8 or more
+    # components of all pairs with a weighted Jaccard similarity of 0.8 or more; equal multisets of shingles are one text
     "op6_minhash_near_dedup": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents WHERE doc_id IS NOT NULL),
       s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN md5(array_to_string(w[p + 1 : p + 5], ' ')) ELSE array_to_string(w, ' ') END AS g FROM (SELECT *, unnest(range(greatest(len(w) - 4, 1))) AS p FROM d WHERE len(w) > 0)),
       c AS (SELECT doc_id, g, count(*) AS c FROM s GROUP BY ALL), t AS (SELECT doc_id, sum(c) AS t FROM c GROUP BY 1),
       e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM c x JOIN c y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN t p ON p.doc_id = x.doc_id JOIN t q ON q.doc_id = y.doc_id GROUP BY 1, 2 HAVING sum(least(x.c, y.c)) >= 0.8 * (any_value(p.t) + any_value(q.t) - sum(least(x.c, y.c))) - 1e-9),
-      r AS (SELECT doc_id, doc_id AS class_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.class_id)
-      SELECT doc_id, min(class_id) AS class_id FROM r GROUP BY 1""",
+      r AS (SELECT doc_id, doc_id AS class_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.class_id),
+      k AS (SELECT doc_id, min(class_id) AS class_id FROM r GROUP BY 1), m AS (SELECT doc_id, md5(string_agg(g || chr(9) || c, chr(10) ORDER BY g)) AS m FROM c GROUP BY 1)
+      SELECT doc_id, class_id, CASE WHEN m IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY m) END AS text_id FROM k LEFT JOIN m USING (doc_id)""",
     # sentences that a repeated run of at least two sentences and twenty words covers, but for its first place
     "op7_sentence_spans": rf"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
       w AS (SELECT doc_id, line, generate_subscripts(v, 1) AS k, len(v) AS n, unnest(v) AS word FROM (SELECT doc_id, line, {_WORDS.format("t")} AS v FROM l)),
