@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, langid, lm, minhash, pieces, quality, rollups, secrets, sentences, suffixes
 from .common import documents
@@ -48,11 +49,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(documents(spark, sf_dir))
 
 
+def word_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollups of the white-space tokenizer alone, which SQL can count."""
+    return rollups.token_totals(documents(spark, sf_dir), rollups.Tokenizers(ranks={}))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the secret scan finds by its fixed patterns, without the compressor's spans."""
+    return op3_secret_scans(spark, sf_dir).drop("spans", "n_novel")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base score of the language model, to six digits."""
+    return op8_lm_scoring(spark, sf_dir).withColumn("base_score", F.floor(F.col("base_score") * 1e6 + 0.5).cast("long")).drop("score")
+
+
+def language_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents language ID holds out, and which have no language."""
+    return op10_language_id(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("unknown"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_token_rollups, op3_secret_scans, op4_decontamination, op5_suffix_dedup,
         op6_minhash_near_dedup, op7_sentence_spans, op8_lm_scoring, op9_sentencepiece, op10_language_id,
+        word_rollups, secret_base_spans, lm_base_scores, language_held_out,
     )
 }
 
@@ -62,7 +84,26 @@ _COUNTS = ", ".join(f"length(text) - length(regexp_replace(text, '{p}', '', 'g')
 _LOG = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0 END"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
+#: crc32 of an id's decimal text.
+_CRC32 = "xor(list_reduce(list_transform(range(length({0}::VARCHAR)), lambda i: ascii(substr({0}::VARCHAR, i::INT + 1, 1))::BIGINT), lambda c, b: list_reduce(range(8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(c, b)), 4294967295), 4294967295)"
+_HELD = "coalesce(" + _CRC32 + " % {1} = 2, false)"
+_PATTERNS = {"assign": r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA([A-Z0-9]+)", "hex": "([0-9a-f]+)"}
+_LEAST = {"assign": "length(regexp_extract(m, '" + _PATTERNS["assign"] + "', 1)) >= 12", "access": "length(m) >= 18", "hex": "length(m) >= 16"}
+#: Matches of a pattern with their places, from the pieces of text between them.
+_PLACED = "SELECT rid, '{0}' AS kind, {1} AS place, m, s FROM (SELECT rid, unnest(ms) AS m, unnest(list_transform(range(len(ms)), lambda i: list_sum(list_transform(gaps[1 : i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1 : i], lambda x: length(x))), 0)))::BIGINT AS s FROM (SELECT rid, regexp_extract_all(t, '{2}') AS ms, regexp_split_to_array(t, '{2}') AS gaps FROM d)) WHERE {3}"
+_FOUND = " UNION ALL ".join(_PLACED.format(k, i, p, _LEAST[k]) for i, (k, p) in enumerate(_PATTERNS.items()))
+
 ORACLE_SQL: dict[str, str] = {
+    "word_rollups": f"SELECT source, lang, 'words' AS tokenizer, count(*) AS n_docs, sum(len({_WORDS.format('coalesce(text, chr(32))')}))::BIGINT AS n_tokens FROM documents GROUP BY 1, 2",
+    "secret_base_spans": f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), f AS ({_FOUND}),
+      g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || s || ':' || (s + length(m)), ',' ORDER BY s, place) AS spans FROM f GROUP BY 1)
+      SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g USING (rid)""",
+    # add-one unigrams over the tokens of the documents that aren't held out; the end of a text is a token
+    "lm_base_scores": f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_HELD.format("doc_id", 7)} AS held_out, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} || ['\\x20end'] AS w FROM documents),
+      t AS (SELECT rid, held_out, unnest(w) AS x FROM d), c AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c),
+      s AS (SELECT rid, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + 1) / (n.n + v + 1)::DOUBLE)) AS b FROM t LEFT JOIN c USING (x), n GROUP BY 1)
+      SELECT doc_id, held_out, n_tokens, n_known, n.n AS train_tokens, floor(b * 1000000 + 0.5)::BIGINT AS base_score FROM d JOIN s USING (rid), n""",
+    "language_held_out": f"SELECT doc_id, {_HELD.format('doc_id', 4)} AS held_out, NOT coalesce(regexp_matches(text, '\\p{{L}}'), false) AS unknown FROM documents",
     # base figures; distances of normalised histograms from their language's mean, of classes from that of all where it has none
     "op1_quality_rules": f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
       w AS (SELECT rid, {_WORDS.format("text")} AS w FROM d), t AS (SELECT rid, generate_subscripts(w, 1) AS p, unnest(w) AS x FROM w),

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..folders import new_folder
-from .common import chunks, column
+from .common import chunks, column, stored
 from .vectext import Texts
 
 KEYS = ("source", "lang", "tokenizer")
@@ -84,13 +84,11 @@ class Rollup:
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{kind}/{b}").withColumn("batch", F.lit(b)) for b in self._batches()]
-        if not parts:
+        """What committed batches wrote, by one reader however many they are."""
+        done = self._batches()
+        if not done:
             return self.spark.createDataFrame([], schema + ", batch string")
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out
+        return self.spark.read.schema(schema + ", batch string").parquet(f"{self.root}/{kind}").filter(F.col("batch").isin(done))
 
     def ledger(self) -> DataFrame:
         """The counts of the documents that are there."""
@@ -101,22 +99,26 @@ class Rollup:
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply ``changes`` (doc_id, op, source, lang, tokenizer, n_tokens; op is insert, revise or delete).  False where ``batch`` was committed before.
 
-        Batch names give the order of batches.
+        Batch names give the order of batches; one that comes before the last committed one is refused.
         """
-        if self._exists("commits", batch):
+        done = self._batches()
+        if batch in done:
             return False
+        if done and batch < done[-1]:
+            raise ValueError(f"batch {batch} comes after {done[-1]} was committed")
         cols = ("op", "source", "lang", "n_tokens")
-        rows = changes.select(F.col("doc_id").cast("long"), "tokenizer", F.col("op"), "source", "lang", F.col("n_tokens").cast("long"))
-        keyed = rows.filter("doc_id is not null").groupBy("doc_id", "tokenizer").agg(F.max(F.struct(*cols)).alias("s")).select("doc_id", "tokenizer", *(f"s.{c}" for c in cols))
-        new = keyed.union(rows.filter("doc_id is null and op <> 'delete'").select("doc_id", "tokenizer", *cols))
-        new.select("doc_id", "tokenizer", "source", "lang", "n_tokens", (F.col("op") != "delete").alias("alive")).write.mode("overwrite").parquet(f"{self.root}/ledger/{batch}")
-        new = self.spark.read.schema(_LEDGER).parquet(f"{self.root}/ledger/{batch}")
+        rows = changes.select(F.col("doc_id").cast("long"), "tokenizer", F.col("op"), "source", "lang", F.col("n_tokens").cast("long")).filter("doc_id is not null or op <> 'delete'")
+        # rows without an id are groups of their own, so one pass over the changes does for all
+        lone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("lone")
+        new = rows.groupBy("doc_id", "tokenizer", lone).agg(F.max(F.struct(*cols)).alias("s")).select("doc_id", "tokenizer", "s.source", "s.lang", "s.n_tokens", (F.col("s.op") != "delete").alias("alive"))
+        new.write.mode("overwrite").parquet(f"{self.root}/ledger/batch={batch}")
+        new = self.spark.read.schema(_LEDGER).parquet(f"{self.root}/ledger/batch={batch}")
         plus = new.filter("alive").select(*KEYS, F.lit(1).cast("long").alias("n_docs"), "n_tokens")
-        if self._batches():
+        if done:
             old = self.ledger().join(new.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
             plus = plus.union(old.select(*KEYS, F.lit(-1).cast("long"), -F.col("n_tokens")))
         deltas = plus.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        deltas.write.mode("overwrite").parquet(f"{self.root}/deltas/{batch}")
+        deltas.write.mode("overwrite").parquet(f"{self.root}/deltas/batch={batch}")
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/commits/{batch}")
         return True
 
@@ -127,10 +129,22 @@ class Rollup:
 
 
 def token_totals(docs: DataFrame, tokenizers: Tokenizers = Tokenizers(), root: str | None = None) -> DataFrame:
-    """Totals of ``docs`` through a rollup of its own in the shared folder: one batch inserts every document."""
-    spark = docs.sparkSession
-    if root is None:
-        root = new_folder(spark, "token-rollup")
-    rollup = Rollup(spark, root)
-    rollup.commit("000001", count_tokens(docs, tokenizers).withColumn("op", F.lit("insert")))
+    """Totals of ``docs`` through a rollup of its own in the shared folder, as a history of signed batches leaves them.
+
+    The first batch inserts every document, every third in an earlier revision under another source and with another
+    count, and for every fifth one more that is deleted later; the second brings the revisions and deletes; then the second
+    is played again, as after a crash.  Texts are tokenised once.  What is left are the totals of ``docs``.
+    """
+    rollup = Rollup(docs.sparkSession, root or new_folder(docs.sparkSession, "token-rollup"))
+    counted = stored(count_tokens(docs, tokenizers), "token-counts")
+    turn = lambda n: F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == 0, F.lit(False))
+    op = lambda name: F.lit(name).alias("op")
+    # ids of their own: no document has the bitwise complement of a document's id as long as ids aren't negative
+    extra = counted.filter(turn(5) & (F.col("doc_id") >= 0)).withColumn("doc_id", F.bitwise_not("doc_id"))
+    earlier = counted.withColumns({"source": F.when(turn(3), "earlier").otherwise(F.col("source")), "n_tokens": F.col("n_tokens") + F.when(turn(3), 11).otherwise(0)})
+    rollup.commit("000001", earlier.select("*", op("insert")).union(extra.select("*", op("insert"))))
+    second = counted.filter(turn(3)).select("*", op("revise")).union(extra.select("*", op("delete")))
+    rollup.commit("000002", second)
+    if rollup.commit("000002", second):
+        raise RuntimeError("a committed batch was applied twice")
     return rollup.totals()

@@ -334,11 +334,20 @@ def test_rollup_deltas(spark, tmp_path):
     assert r.commit("02", frame([(1, "revise", "b", "de", "t", 11), (2, "delete", None, None, "t", None), (9, "delete", "a", "en", "t", 1), (4, "insert", "a", "en", "t", 1), (4, "insert", "a", "en", "t", 4)]))
     assert totals() == {("a", "en", "t"): (2, 6), ("b", None, "t"): (1, 7), ("b", "de", "t"): (1, 11), ("a", "en", "u"): (1, 3)}
     # a batch that broke off before its commit is run again from scratch
-    frame([(1, "delete", None, None, "t", None)]).withColumnRenamed("op", "x").write.parquet(f"file://{tmp_path}/r/deltas/03")
+    frame([(1, "delete", None, None, "t", None)]).withColumnRenamed("op", "x").write.parquet(f"file://{tmp_path}/r/deltas/batch=03")
     assert r.commit("03", frame([(3, "delete", None, None, "t", None)]))
     assert totals() == {("a", "en", "t"): (2, 6), ("b", "de", "t"): (1, 11), ("a", "en", "u"): (1, 3)}
 
 
+def test_late_batches_are_refused(spark, tmp_path):
+    r = rollups.Rollup(spark, f"file://{tmp_path}/r")
+    rows = spark.createDataFrame([(1, "insert", "a", "en", "t", 10)], "doc_id long, op string, source string, lang string, tokenizer string, n_tokens long")
+    assert r.commit("02", rows)
+    with pytest.raises(ValueError, match="02"):
+        r.commit("01", rows)
+    assert not r.commit("02", rows) and r.commit("03", rows) and r.totals().first().n_docs == 1
+
+
 def test_token_totals(spark, odd_rows):
     import tiktoken
 
