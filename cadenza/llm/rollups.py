@@ -137,7 +137,7 @@ def token_totals(docs: DataFrame, tokenizers: Tokenizers = Tokenizers(), root: s
     """
     rollup = Rollup(docs.sparkSession, root or new_folder(docs.sparkSession, "token-rollup"))
     counted = stored(count_tokens(docs, tokenizers), "token-counts")
-    turn = lambda n: F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == 0, F.lit(False))
+    turn = lambda n: F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(n)) == 0)
     op = lambda name: F.lit(name).alias("op")
     # ids of their own: no document has the bitwise complement of a document's id as long as ids aren't negative
     extra = counted.filter(turn(5) & (F.col("doc_id") >= 0)).withColumn("doc_id", F.bitwise_not("doc_id"))
