@@ -1,13 +1,14 @@
 """Language ID by string kernels.
 
 The blended-spectrum presence kernel of two texts is the cosine of their sets of character n-grams, all
-lengths together.  A long text holds nearly every gram, so texts are cut into even pieces of ``piece_bytes``
-at most, and the kernel of two texts is the mean over their pieces.  Grams are sparse 40-bit keys.  Nyström
+lengths together.  A long text holds nearly every gram, so texts are cut into even pieces of ``piece_chars``
+code points at most, and the kernel of two texts is the mean over their pieces.  Grams are sparse 40-bit keys.  Nyström
 landmarks turn the kernel into explicit features and one-versus-rest kernel ridge regression gives each
 language a score; all of it is linear in the landmarks' grams, so a model is a table of weights by gram.
 
-The model is fitted on a bounded sample of labelled rows (``fit_per_lang`` for each language, chosen by
-a hash of the id); every row is scored.
+The model is fitted on a bounded sample of labelled rows (``fit_per_lang`` for each of the ``max_langs`` most
+frequent languages, chosen by a hash of the id); every row is scored, and a text in a language beyond these gets the
+one of them that it is most like.
 
 Defined results for odd input: null texts and texts without a letter are ``und`` with score 0; with no
 labelled row to learn from every text is ``und``; null ids are scored and count as not held out;
@@ -34,8 +35,8 @@ class LanguageRules:
     max_gram: int = 4
     #: log2 of the gram keys' space; a piece's number takes the other bits of a 64-bit word.
     bits: int = 40
-    #: Longest piece of a text whose grams are taken together.
-    piece_bytes: int = 2048
+    #: Longest piece of a text whose grams are taken together, in code points.
+    piece_chars: int = 2048
     #: Labelled rows to fit on and landmarks, for each language; languages learned at most.
     fit_per_lang: int = 300
     landmarks_per_lang: int = 24
@@ -48,32 +49,34 @@ class LanguageRules:
 def presence(col: pa.Array, rules: LanguageRules) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(text, gram, weight) of the grams that texts have, for some pieces at a time; each piece has unit length over its text's number of pieces.
 
-    Grams are runs of bytes of the ASCII-lower-cased text with white space as one class and digits as another; one that crosses pieces is the earlier one's.
+    Grams are runs of code points of the ASCII-lower-cased text with white space as one class and digits as another; one that crosses pieces is the earlier one's.
     """
     t = Texts(col)
-    folded = LOWER.copy()
-    folded[[0x20, *range(0x09, 0x0E)]] = 0x20
-    folded[0x30:0x3A] = 0x30
-    size = np.diff(t.offsets)
-    count = -(-size // rules.piece_bytes)
+    folded = np.frombuffer(LOWER[t.bytes].tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64) + U(1)
+    folded[(folded == 0x21) | (folded >= 0x0A) & (folded < 0x0F)] = 0x21
+    folded[(folded >= 0x31) & (folded < 0x3B)] = 0x31
+    # the texts' places in code points
+    offsets = np.concatenate([[0], np.cumsum((t.bytes & 0xC0) != 0x80)])[t.offsets]
+    size = np.diff(offsets)
+    count = -(-size // rules.piece_chars)
     text = np.repeat(np.arange(t.n), count)
     number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    begin = t.offsets[text] + size[text] * number // np.maximum(count[text], 1)
-    ends = np.append(begin[1:], len(t.bytes))
-    step = max(1, (1 << 19) // rules.piece_bytes)
+    begin = offsets[text] + size[text] * number // np.maximum(count[text], 1)
+    ends = np.append(begin[1:], len(folded))
+    step = max(1, (1 << 18) // rules.piece_chars)
     p = 0
     while p < len(begin):
-        q = min(len(begin), max(p + 1, int(np.searchsorted(ends, begin[p] + (1 << 19), side="right"))), p + 16 * step)
+        q = min(len(begin), max(p + 1, int(np.searchsorted(ends, begin[p] + (1 << 18), side="right"))), p + 16 * step)
         lo, hi = begin[p], ends[q - 1]
-        data = folded[t.bytes[lo : hi + rules.max_gram - 1]].astype(np.uint64)
+        data = folded[lo : hi + rules.max_gram - 1]
         piece = np.repeat(np.arange(q - p, dtype=np.uint64), ends[p:q] - begin[p:q])
-        left = np.repeat(t.offsets[text[p:q] + 1], ends[p:q] - begin[p:q]) - np.arange(lo, hi)  # bytes to the end of the text
+        left = np.repeat(offsets[text[p:q] + 1], ends[p:q] - begin[p:q]) - np.arange(lo, hi)  # code points to the end of the text
         keys, code = [], np.zeros(len(data), np.uint64)
         for n in range(1, rules.max_gram + 1):
             m = len(data) - n + 1
             if m <= 0:
                 break
-            code = code[:m] * U(256) + data[n - 1 :]
+            code = code[:m] * U(0xD1342543DE82EF95) + data[n - 1 :]
             if n < rules.min_gram:
                 continue
             salt = U(n * 0x632BE59BD9B4E019 % 2**64)  # one gram space for all lengths
@@ -89,10 +92,12 @@ def presence(col: pa.Array, rules: LanguageRules) -> Iterator[tuple[np.ndarray,
         p = q
 
 
-def applied(col: pa.Array, grams: np.ndarray, columns: np.ndarray, rules: LanguageRules) -> np.ndarray:
-    """Products of the texts' presence rows with ``columns``, which has a row for each of the sorted ``grams``."""
+def applied(col: pa.Array, grams: np.ndarray, columns: np.ndarray, rules: LanguageRules, total: np.ndarray | None = None) -> np.ndarray:
+    """Products of the texts' presence rows with ``columns``, which has a row for each of the sorted ``grams``; the rows' sums are added to ``total``."""
     out = np.zeros((len(col), columns.shape[1]))
     for text, gram, weight in presence(col, rules):
+        if total is not None:
+            total += np.bincount(text, weights=weight, minlength=len(col))
         slot = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
         hit = grams[slot] == gram
         text, slot, weight = text[hit], slot[hit], weight[hit]
@@ -114,9 +119,8 @@ class Model:
     def covered(self, col: pa.Array) -> np.ndarray:
         """The largest share, from 0 to 1, of each text's grams that the landmarks of one language have."""
         total = np.zeros(len(col))
-        for text, _, weight in presence(col, self.rules):
-            total += np.bincount(text, weights=weight, minlength=len(col))
-        return applied(col, self.grams, self.known, self.rules).max(axis=1) / np.where(total > 0, total, 1)
+        known = applied(col, self.grams, self.known, self.rules, total).max(axis=1)
+        return known / np.where(total > 0, total, 1)
 
     def outputs(self, col: pa.Array) -> np.ndarray:
         """One-versus-rest outputs: a row for each text, a column for each language."""
@@ -209,7 +213,7 @@ def classify(docs: DataFrame, rules: LanguageRules = LanguageRules(), hold_modul
     return predict(docs, model, rules).select("doc_id", held_out(F.col("doc_id"), hold_modulus).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, rules: LanguageRules = LanguageRules(), min_known: float = 0.5, hold_modulus: int = 4) -> DataFrame:
+def accepted(docs: DataFrame, rules: LanguageRules = LanguageRules(), min_known: float = 0.46, hold_modulus: int = 4) -> DataFrame:
     """The rows of ``docs`` whose language is known: not ``und``, and ``min_known`` of their grams are those of one language, however many there are.  All columns stay as they are."""
     model = fit(docs.filter(~held_out(F.col("doc_id"), hold_modulus)), rules)
     schema, letter = docs.schema, free_name("__letter", docs.columns)

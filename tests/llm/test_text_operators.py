@@ -275,23 +275,47 @@ def test_long_and_mixed_texts_keep_their_language():
 
 
 def test_pieces_hold_all_grams_of_a_text():
-    """The mean over pieces against plain sets of byte runs."""
-    rules = langid.LanguageRules(piece_bytes=7)
-    texts = ["abcdefghij klm 12", None, "", "xyz", "aaaaaaaaaaaaaaaaaaaaaa"]
+    """The mean over pieces against plain sets of character runs."""
+    rules = langid.LanguageRules(piece_chars=7)
+    texts = ["abcdefghij klm 12", None, "", "xyz", "aaaaaaaaaaaaaaaaaaaaaa", "\u00e9t\u00e9 \u65e5\u672c\u8a9e\n\U0001f600!"]
     got: dict = {}
     for text, gram, weight in langid.presence(pa.array(texts), rules):
         for k, g, w in zip(text.tolist(), gram.tolist(), weight.tolist(), strict=True):
             got.setdefault(k, []).append(round(w, 9))
     for k, x in enumerate(texts):
-        b = re.sub(rb"[0-9]", b"0", (x or "").encode())
-        n, want = -(-len(b) // 7), []
-        for p in range(n):
-            lo, hi = len(b) * p // n, len(b) * (p + 1) // n
-            grams = {b[i : i + m] for i in range(lo, hi) for m in range(1, 5) if i + m <= len(b)}
-            want += [round(1 / (len(grams) ** 0.5 * n), 9)] * len(grams)
+        want = [round(1 / (len(grams) ** 0.5 * n), 9) for grams, n in gram_sets(x or "", 7) for _ in grams]
         assert sorted(got.get(k, [])) == sorted(want)
 
 
+def gram_sets(text: str, piece: int) -> list[tuple[set, int]]:
+    """The sets of runs of one to four characters of each piece, and the number of pieces."""
+    b = re.sub(r"[ \t-\r]", " ", re.sub("[0-9]", "0", text)).replace("\n", " ")
+    b = re.sub("[A-Z]", lambda m: m[0].lower(), b)
+    n = -(-len(b) // piece)
+    cut = [(len(b) * p // n, len(b) * (p + 1) // n) for p in range(n)]
+    return [({b[i : i + m] for i in range(lo, hi) for m in range(1, 5) if i + m <= len(b)}, n) for lo, hi in cut]
+
+
+def test_kernel_ridge_against_plain_kernels():
+    """Outputs of the folded model are those of Nystr\u00f6m kernel ridge regression on kernels of sets."""
+    rules = langid.LanguageRules(piece_chars=40, landmarks_per_lang=5)
+    rows = languages(36, seed=9)
+    texts, langs = [t for _, t, _, _ in rows], [x for _, _, x, _ in rows]
+    model = langid.solve(texts, langs, rules)
+    sets = [gram_sets(t, 40) for t in texts]
+    kernel = lambda a, b: sum(len(x & y) / ((len(x) * len(y)) ** 0.5 * n * m) for x, n in a for y, m in b)
+    names = sorted(set(langs))
+    marks = [i for x in names for i in [k for k, y in enumerate(langs) if y == x][:5]]
+    k = np.array([[kernel(a, sets[j]) for j in marks] for a in sets])
+    values, vectors = np.linalg.eigh(k[marks])
+    top = values > 1e-6 * values.max()
+    phi = k @ (vectors[:, top] / np.sqrt(values[top]))
+    target = np.array([[1.0 if x == y else -1.0 for y in names] for x in langs])
+    want = phi @ np.linalg.solve(phi.T @ phi + rules.ridge * len(texts) * np.eye(phi.shape[1]), phi.T @ target)
+    assert model.langs == names
+    np.testing.assert_allclose(model.outputs(pa.array(texts)), want, atol=1e-6)
+
+
 def test_language_id_uses_only_what_it_may(spark):
     """Labels of held-out rows, and sources, don't matter."""
     rows = languages(80)
