@@ -2,8 +2,10 @@
 
 The patterns give the base spans.  The method adds candidates: runs of key-like characters that stand
 shortly after a sensitive word.  A candidate's novelty is its marginal cost, the compressed size of
-context and candidate less that of the context alone, with a dictionary of common identifiers loaded.
-The context is what surrounds the candidate, with copies of it blanked out.  Names and prose compress
+context and candidate less that of the context alone, with a dictionary of identifiers loaded: a short list of
+those that code is full of, and those that most documents of the corpus hold (``identifiers`` of them, of up to 32
+characters).  What stands where a candidate could stand isn't counted as an identifier, so that a secret with many
+copies doesn't become one.  The context is what surrounds the candidate, with copies of it blanked out.  Names and prose compress
 against dictionary and context; random key material doesn't, and is reported, wherever the text has it.
 
 Defined results for odd input: a null or empty text has no spans (the digest is that of the empty
@@ -12,7 +14,9 @@ string); very long texts are scanned whole; repeated rows repeat their results;
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column
+from .common import CHUNK_BYTES, chunks, column
 
 KINDS = ("assign", "access", "hex", "novel")
 # The three base patterns.
@@ -31,6 +35,7 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _SENSITIVE_WORDS = (*_ASSIGN_WORDS, "private", "credential", "bearer", "auth", "signature", "access")
 _SENSITIVE = re.compile("|".join(_SENSITIVE_WORDS), re.IGNORECASE | re.ASCII)
 _RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+_IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_=.~-])[A-Za-z_][A-Za-z0-9_]{7,31}(?![A-Za-z0-9+/_=~-])")
 
 #: Identifiers that code is full of; they prime the compressor, so that they cost next to nothing.
 IDENTIFIERS = " ".join(
@@ -53,14 +58,44 @@ class NoveltyRules:
     min_chars: int = 16
     #: Marginal compressed bytes for each byte of the candidate.
     min_ratio: float = 0.7
+    #: Identifiers of the corpus in the dictionary, and documents that must hold one.
+    identifiers: int = 1024
+    min_documents: int = 3
+
+
+def _identifiers(text: str, reach: int) -> set[str]:
+    """Identifiers of a text, without those that a sensitive word stands before."""
+    found = [(m.start(), m.group()) for m in _IDENTIFIER.finditer(text)]
+    lowered = text.lower()
+    if any(w in lowered for w in _SENSITIVE_WORDS):
+        near = [m.end() for m in _SENSITIVE.finditer(text)]
+        places = [bisect.bisect_right(near, at) for at, _ in found]
+        found = [x for x, k in zip(found, places, strict=True) if not k or x[0] - near[k - 1] > reach]
+    return {x for _, x in found}
+
+
+def dictionary(docs: DataFrame, rules: NoveltyRules) -> str:
+    """The identifiers that prime the compressor, the most frequent ones last; ``rules.identifiers`` rows come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=4 * CHUNK_BYTES):
+            n: Counter = Counter()
+            for x in column(batch, "text").to_pylist():
+                n.update(_identifiers(x or "", rules.reach))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["x", "n"])
+
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "x string, n long").groupBy("x").agg(F.sum("n").alias("n")).filter(F.col("n") >= rules.min_documents)
+    best = [r["x"] for r in counts.orderBy(F.desc("n"), "x").limit(rules.identifiers).collect()]
+    return " ".join([*reversed(best), IDENTIFIERS])
 
 
 class Novelty:
-    def __init__(self, rules: NoveltyRules):
+    def __init__(self, rules: NoveltyRules, identifiers: str = IDENTIFIERS):
         import zstandard
 
         self.rules = rules
-        primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=rules.level)
         self.size = lambda data, c=zstandard.ZstdCompressor(level=rules.level, dict_data=primed, write_content_size=False, write_checksum=False): len(c.compress(data))
 
     def ratio(self, text: str, start: int, end: int) -> float:
@@ -126,9 +161,10 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 def scan(docs: DataFrame, rules: NoveltyRules = NoveltyRules()) -> DataFrame:
     """One row for each document: ``doc_id``, and ``base`` and ``spans`` as arrays of (kind, start, end) in code points, end exclusive."""
     span = "array<struct<kind:string,start:long,end:long>>"
+    primer = docs.sparkSession.sparkContext.broadcast(dictionary(docs, rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty(rules)
+        novelty = Novelty(rules, primer.value)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         row = lambda spans: [{"kind": k, "start": s, "end": e} for k, s, e in spans]
         for batch in chunks(batches):
@@ -154,9 +190,10 @@ def redact(docs: DataFrame, rules: NoveltyRules = NoveltyRules(), mask: str = "[
     The columns stay as they are; ``n_chars``, where there is one, is the new length.
     """
     names, schema = docs.columns, docs.schema
+    primer = docs.sparkSession.sparkContext.broadcast(dictionary(docs, rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty(rules)
+        novelty = Novelty(rules, primer.value)
         for batch in chunks(batches):
             texts = column(batch, "text").to_pylist()
             changed = False

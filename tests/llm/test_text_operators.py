@@ -158,6 +158,21 @@ def test_copies_of_a_secret_are_secret_too(spark):
     assert not any(keys[r.doc_id] in r.text for r in secrets.redact(df).collect())
 
 
+def test_identifiers_of_the_corpus_prime_the_compressor(spark):
+    """A long name that many texts use isn't novel; a secret with as many copies is, as copies near sensitive words don't count."""
+    rng = random.Random(34)
+    name = "ProvisionedThroughputReservationCoordinatorQ"[:32]
+    key = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=32))
+    rows = [(i, f"call {name} here", "en", "s") for i in range(5)] + [(10 + i, f"Authorization: Bearer {key} end", "en", "s") for i in range(5)] + [(20, f"auth: {name} end", "en", "s")]
+    df = table(spark, rows)
+    primer = secrets.dictionary(df, secrets.NoveltyRules())
+    assert name in primer and key not in primer
+    got = {r.doc_id: r.n_novel for r in secrets.digests(df).collect()}
+    assert got[20] == 0 and all(got[10 + i] == 1 for i in range(5))
+    assert secrets.Novelty(secrets.NoveltyRules()).spans(f"auth: {name} end")
+    assert secrets.digests(table(spark, [])).count() == 0 and secrets.redact(table(spark, [])).count() == 0
+
+
 def test_redaction(spark):
     rows = [(i, t, "en", "s") for i, t in enumerate(SECRETS)] + [(50, None, None, None), (51, "clean", "en", "s")]
     df = table(spark, rows, clashes=True)
