@@ -66,6 +66,51 @@ def is_coherent(features: Feature | int) -> bool:
     return closure(features) == Feature(features)
 
 
+MONO, STEREO = 1, 2
+
+
+def config_error(features: int, sample_rate: int, channels: int, layout: int = 0, frames_per_column: int = 0) -> str | None:
+    """Why a configuration is refused; None for a good one.  A column size of 0 is the default, a layout of 0 any."""
+    if features & ~int(sum(Feature)):
+        return "features"
+    if not 0 < sample_rate:
+        return "sample_rate"
+    if not 1 <= channels <= 8:
+        return "channels"
+    if (layout == MONO and channels != 1) or (layout == STEREO and channels != 2):
+        return "layout"
+    n = frames_per_column
+    if n and (not 64 <= n <= 65_536 or n & (n - 1)):
+        return "frames_per_column"
+    if features & Feature.OVERVIEW and channels > 2:
+        return "overview_channels"
+    return None
+
+
+def version_code(major: int, minor: int, patch: int) -> int:
+    """A version in 32 bits: ten for major and minor each, twelve for the patch."""
+    return (major & 0x3FF) << 22 | (minor & 0x3FF) << 12 | patch & 0xFFF
+
+
+def version_parts(code: int) -> tuple[int, int, int]:
+    return code >> 22 & 0x3FF, code >> 12 & 0x3FF, code & 0xFFF
+
+
+def feature_list(features: Feature | int) -> list[str]:
+    """Lower-case names, by bit."""
+    return [f.name.lower() for f in Feature if f & features]
+
+
+def features_named(names: str) -> Feature:
+    """The features of a comma-separated list; an unknown name is an error."""
+    out = Feature(0)
+    for name in filter(None, (n.strip().upper() for n in names.split(","))):
+        if name not in Feature.__members__:
+            raise ValueError(f"no feature is called {name.lower()}")
+        out |= Feature[name]
+    return out
+
+
 @dataclass(frozen=True)
 class Geometry:
     """Sizes in frames and bins; the defaults are those of a 44.1 or 48 kHz track."""

@@ -126,12 +126,23 @@ def ended(tracks: DataFrame) -> DataFrame:
     return tracks.withColumn("status", status)
 
 
-def validated(blocks: DataFrame, total_frames: int | None = None) -> DataFrame:
-    """``blocks`` (first_frame, frame_count) with an ``error``: null for good ones."""
+def validated(blocks: DataFrame, total_frames: int | None = None, planes: int | None = None) -> DataFrame:
+    """``blocks`` (first_frame, frame_count) with an ``error``: null for good ones.
+
+    With columns ``data`` and ``planes`` (an array), interleaved samples must come in ``data`` alone; where ``planes`` says that the
+    source is planar, they must come in exactly so many planes from the first on, and no ``data``.
+    """
     error = F.when(F.col("frame_count") <= 0, "empty").when(F.col("first_frame") < 0, "negative")
     error = error.when(F.col("first_frame") > F.lit((1 << 63) - 1) - F.col("frame_count"), "overflow")
     if total_frames is not None:
         error = error.when(F.col("first_frame") + F.col("frame_count") > total_frames, "beyond_end")
+    if {"data", "planes"} <= set(blocks.columns):
+        given = F.coalesce(F.filter("planes", lambda p: p.isNotNull()), F.array())
+        if planes is None:
+            error = error.when(F.col("data").isNull() | (F.size(given) > 0), "interleaved")
+        else:
+            whole = (F.size(given) == planes) & (F.size(F.filter(F.slice("planes", 1, planes), lambda p: p.isNotNull())) == planes)
+            error = error.when(F.col("data").isNotNull() | ~F.coalesce(whole, F.lit(False)), "planar")
     return blocks.withColumn("error", error)
 
 

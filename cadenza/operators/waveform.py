@@ -118,12 +118,13 @@ def longest_runs(cols: DataFrame, tile_columns: int) -> DataFrame:
 def recent_tiles(accesses: DataFrame, keep: int) -> DataFrame:
     """The ``keep`` tiles of each track that were used last: (track_id, tile_index, serial) in, with ``recency`` from 1 out.
 
-    A column ``protected`` says which must not go: tiles that a request or the focus lies on come before all others.
+    A column ``protected`` says on which a request or the focus lies: these stay before all others, and among more of them than
+    there is room for the ones used last do.
     """
     if "protected" in accesses.columns:
         held = accesses.groupBy("track_id", "tile_index").agg(F.max("serial").alias("serial"), F.max("protected").alias("protected"))
         order = W.partitionBy("track_id").orderBy(F.desc("protected"), F.desc("serial"), "tile_index")
-        return held.withColumn("recency", F.row_number().over(order)).filter((F.col("recency") <= keep) | F.col("protected"))
+        return held.withColumn("recency", F.row_number().over(order)).filter(F.col("recency") <= keep)
     last = accesses.groupBy("track_id", "tile_index").agg(F.max("serial").alias("serial"))
     ranked = last.withColumn("recency", F.row_number().over(W.partitionBy("track_id").orderBy(F.desc("serial"), "tile_index")))
     return ranked.filter(F.col("recency") <= keep)

@@ -7,6 +7,7 @@ and optionally ``tiles``, ``metadata``, ``tempo``, ``local``, ``grid`` and ``rev
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -387,6 +388,44 @@ def inspected(files: DataFrame, key: str, strict: bool = True) -> DataFrame:
     return files.select(key, "content").mapInPandas(run, f"{key} {kind}, section string, offset long, size long, crc long, error string")
 
 
+def described(files: DataFrame, key: str, only: tuple[str, ...] | None = None, strict: bool = True) -> DataFrame:
+    """(key, section, json): what each section of each file says, as JSON; without columns, beats and tiles, of which there are numbers.
+
+    ``only`` names sections; SOURC is the header's.  A file that fails has one row with its ``error`` as JSON.
+    """
+    kind = dict(files.dtypes)[key]
+    plain = lambda v: v.hex() if isinstance(v, bytes) else int(v) if isinstance(v, np.integer) else v
+    flat = lambda d, *drop: {k: plain(v) for k, v in d.items() if k not in drop}
+
+    def parts(r: dict) -> Iterator[tuple[str, dict]]:
+        o = r["overview"]
+        yield "SOURC", flat(r["source"])
+        yield "WOVR", flat(o, "spans") | {"spans": [flat(s, "columns") | {"columns": len(s["columns"])} for s in o["spans"]]}
+        if "tiles" in r:
+            yield "WDTL", {"tiles": [flat(t, "columns") | {"columns": len(t["columns"])} for t in r["tiles"]]}
+        if "metadata" in r:
+            yield "META", flat(r["metadata"])
+        if "tempo" in r:
+            yield "TEMP", flat(r["tempo"])
+        if "local" in r:
+            yield "LGRD", flat(r["local"])
+        if "grid" in r:
+            yield "GGRD", flat(r["grid"], "segments", "beats") | {"segments": [flat(s) for s in r["grid"]["segments"]], "beats": len(r["grid"]["beats"])}
+            yield "REVN", flat(r["revision"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, content in zip(pdf[key], pdf["content"], strict=True):
+                try:
+                    out += [(k, name, json.dumps(d, ensure_ascii=False)) for name, d in parts(read(bytes(content), strict)) if only is None or name in only]
+                except ContainerError as e:
+                    out.append((k, None, json.dumps({"error": e.code})))
+            yield pd.DataFrame(out, columns=[key, "section", "json"])
+
+    return files.select(key, "content").mapInPandas(run, f"{key} {kind}, section string, json string")
+
+
 def decoded_columns(files: DataFrame, key: str, strict: bool = True) -> DataFrame:
     """The overview columns of each file (``key``, content)."""
     kind = dict(files.dtypes)[key]

@@ -12,11 +12,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..config import FINAL, Geometry
 from ..functions.ranges import Accepted
-from ..operators import waveform
+from ..operators import onset, waveform
 
 
 def accumulate(samples: DataFrame, root: str, frames: int, checkpoint: str, available_now: bool = True):
@@ -29,6 +31,52 @@ def accumulate(samples: DataFrame, root: str, frames: int, checkpoint: str, avai
     return (q.trigger(availableNow=True) if available_now else q).start()
 
 
+def accumulate_all(samples: DataFrame, root: str, g: Geometry, checkpoint: str, available_now: bool = True):
+    """Start the query that writes each batch's partial columns, detail columns, onset bins and global bins to ``root/<kind>/batch=<id>``.
+
+    All of them are sums, extremes and counts by place, so parts of batches merge; of bins it is enough to merge the partial sums.
+    """
+    kinds = {
+        "columns": lambda df: waveform.accumulators(df, g.frames_per_column), "detail": lambda df: waveform.accumulators(df, g.detail_frames),
+        "onset": lambda df: onset.bins(df, g.onset_frames), "global": lambda df: onset.bins(df, g.global_frames),
+    }
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        df = df.persist()
+        for kind, parts in kinds.items():
+            parts(df).write.mode("overwrite").parquet(f"{root}/{kind}/batch={batch_id}")
+        df.unpersist()
+
+    q = samples.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (q.trigger(availableNow=True) if available_now else q).start()
+
+
+def bins_snapshot(spark: SparkSession, root: str, kind: str, frames: int) -> DataFrame:
+    """The bins of what has been accumulated: as ``onset.bins`` of all samples."""
+    parts = spark.read.parquet(f"{root}/{kind}")
+    out = parts.groupBy("track_id", "bin").agg(F.sum("sum_absolute").alias("sum_absolute"), F.sum("sample_count").alias("sample_count"))
+    return out.withColumn("complete", F.col("sample_count") == frames)
+
+
+def refresh_due(tracks: DataFrame, min_bins: int = 32) -> DataFrame:
+    """(track_id, evidence_end, refreshed_end or 0, ended, state) with ``due``: whether the estimate of a track is to be made anew.
+
+    It is where evidence has moved back, where the input has ended and the estimate isn't final yet, and where ``min_bins`` bins
+    have come since the last one.
+    """
+    back = F.col("evidence_end") < F.col("refreshed_end")
+    last = F.col("ended") & (F.coalesce("state", F.lit(0)) != FINAL)
+    return tracks.withColumn("due", back | last | (F.col("evidence_end") >= F.col("refreshed_end") + min_bins))
+
+
+def generation_features(contents: DataFrame) -> DataFrame:
+    """(track_id, generation, feature, content) to (track_id, generation, available, changed): masks of the features that a generation has, and of those whose content isn't that of the generation before."""
+    order = W.partitionBy("track_id", "feature").orderBy("generation")
+    new = ~F.col("content").eqNullSafe(F.lag("content").over(order)) | ~F.coalesce(F.lag("place").over(order) == F.col("place") - 1, F.lit(False))
+    placed = contents.withColumn("place", F.dense_rank().over(W.partitionBy("track_id").orderBy("generation")))
+    return placed.withColumn("__new", new).groupBy("track_id", "generation").agg(F.bit_or("feature").alias("available"), F.bit_or(F.when(F.col("__new"), F.col("feature")).otherwise(0)).alias("changed"))
+
+
 def snapshot(spark: SparkSession, root: str, frames: int, total: DataFrame | int | None = None) -> DataFrame:
     """The complete columns of what has been accumulated; the last may be short once the track's end is known."""
     parts = spark.read.parquet(root).drop("batch")
