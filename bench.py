@@ -10,7 +10,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from cadenza import catalog
+from cadenza.config import Feature
 from cadenza.operators import onset, waveform
+from cadenza.plans.analysis import Analysis
 
 HEADLINE = (
     "overview_columns", "overview_multi_track", "overview_spans", "detail_columns", "accepted_ranges", "pcm_demand", "request_ranking", "onset_flux",
@@ -39,6 +41,12 @@ def main() -> None:
     n = int(os.environ.get("BENCH_FRAMES", "50000000"))
     x = spark.range(n).select(F.lit("t").alias("track_id"), F.col("id").alias("frame"), F.sin(F.col("id") / 50.0).alias("x"))
     rates = {name: round(n / run(df)) for name, df in (("overview", waveform.columns(x, 1024, n)), ("onset_bins", onset.bins(x, 256)))}
+    # every feature of many tracks of a million frames: columns, detail tiles, tempo, local and global grid, beats
+    m = n // 2
+    many = spark.range(m).select((F.col("id") / (1 << 20)).cast("long").alias("track_id"), (F.col("id") % (1 << 20)).alias("frame"), (F.sin(F.col("id") / 50.0) * F.when(F.col("id") % 24_000 < 256, 0.9).otherwise(0.05)).alias("x"))
+    a = Analysis(many, sum(Feature) & ~Feature.BANDS, keep=True)
+    rates["all_features"] = round(m / sum(run(df) for df in (a.columns, a.spans(), a.confidence(), a.tiles(), a.tempo, a.local_grid(), a.segments, a.beats())))
+    a.fine.unpersist()
     print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")), "frames_per_second": rates}))
     spark.stop()
 

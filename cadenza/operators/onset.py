@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.signal import BAND_SCALE, magnitude
+from ..functions.signal import BAND_SCALE, RMS_SCALE, magnitude
 from ..functions.tempo import div
 from .waveform import islands
 
@@ -17,6 +17,20 @@ def bins(samples: DataFrame, frames: int) -> DataFrame:
     return out.withColumn("complete", F.col("sample_count") == frames)
 
 
+def fine(samples: DataFrame, frames: int) -> DataFrame:
+    """``waveform.accumulators`` of small columns with ``sum_absolute`` and ``last_frame``: one pass over the samples that columns, tiles and bins of any multiple are rolled up from."""
+    m, a = magnitude(F.col("x"), RMS_SCALE), magnitude(F.col("x"), BAND_SCALE)
+    return samples.groupBy("track_id", div(F.col("frame"), frames).alias("column_index")).agg(
+        F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum(m * m).alias("sum_squares"), F.count("*").alias("n"), F.max(F.abs(F.col("x")) >= 1).alias("clipped"), F.sum(a).alias("sum_absolute"), F.max("frame").alias("last_frame")
+    )
+
+
+def rolled_bins(parts: DataFrame, factor: int, frames: int) -> DataFrame:
+    """``bins`` of ``frames`` frames, each of ``factor`` columns of ``fine``."""
+    out = parts.groupBy("track_id", div(F.col("column_index"), factor).alias("bin")).agg(F.sum("sum_absolute").alias("sum_absolute"), F.sum("n").alias("sample_count"))
+    return out.withColumn("complete", F.col("sample_count") == frames)
+
+
 def energy(total, n):
     return total / (n * F.lit(float(BAND_SCALE)))
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import cached_property
+from math import gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FINAL, GRID_DYNAMIC, Feature, Geometry, closure
-from ..operators import bands, coverage, grid, scheduler, tempo, waveform
+from ..operators import bands, coverage, grid, onset, scheduler, tempo, waveform
 
 CAPABILITIES = sum(Feature)
 
@@ -22,7 +23,8 @@ CAPABILITIES = sum(Feature)
 class Analysis:
     """``samples`` (track_id, frame, x) of ended tracks; ``total`` (track_id, total_frames) where they end later than their last sample.
 
-    ``seed`` holds overview columns of an earlier result.
+    ``seed`` holds overview columns of an earlier result.  All waveform and tempo features are rolled up from one pass over the
+    samples, ``fine``; ``keep`` holds on to its result (a few numbers for every 64 frames or more) where several features are read.
     """
 
     samples: DataFrame
@@ -30,6 +32,7 @@ class Analysis:
     geometry: Geometry = field(default_factory=Geometry)
     total: DataFrame | None = None
     seed: DataFrame | None = None
+    keep: bool = False
 
     def __post_init__(self):
         self.features = closure(self.features)
@@ -38,13 +41,31 @@ class Analysis:
         if f not in self.features:
             raise ValueError(f"{f.name} isn't among the features of this analysis")
 
+    @cached_property
+    def _unit(self) -> int:
+        g = self.geometry
+        return gcd(g.frames_per_column, g.detail_frames, g.onset_frames, g.global_frames)
+
+    @cached_property
+    def fine(self) -> DataFrame:
+        parts = onset.fine(self.samples, self._unit)
+        return parts.persist() if self.keep else parts
+
+    def _columns(self, frames: int) -> DataFrame:
+        return waveform.finalized(waveform.complete(waveform.merged(self.fine, frames // self._unit), frames, self.totals))
+
+    def _bins(self, frames: int) -> DataFrame:
+        return onset.rolled_bins(self.fine, frames // self._unit, frames)
+
     @cached_property
     def totals(self) -> DataFrame:
-        return waveform.totals(self.samples) if self.total is None else self.total
+        if self.total is not None:
+            return self.total
+        return self.fine.groupBy("track_id").agg((F.max("last_frame") + 1).alias("total_frames"))
 
     @cached_property
     def columns(self) -> DataFrame:
-        c = waveform.columns(self.samples, self.geometry.frames_per_column, self.totals)
+        c = self._columns(self.geometry.frames_per_column)
         return c if self.seed is None else waveform.resumed(self.seed, c)
 
     def spans(self) -> DataFrame:
@@ -56,7 +77,7 @@ class Analysis:
 
     def detail(self) -> DataFrame:
         self._need(Feature.DETAIL)
-        return waveform.columns(self.samples, self.geometry.detail_frames, self.totals)
+        return self._columns(self.geometry.detail_frames)
 
     def tiles(self) -> DataFrame:
         return waveform.longest_runs(self.detail(), self.geometry.tile_columns)
@@ -67,7 +88,9 @@ class Analysis:
 
     @cached_property
     def _windows(self) -> DataFrame:
-        return grid.windows(grid.global_flux(self.samples, self.geometry), self.geometry)
+        g = self.geometry
+        b = self._bins(g.global_frames)
+        return grid.windows(onset.flux(b, onset.evidence(b, g.global_capacity), g.window_bins), g)
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -92,7 +115,9 @@ class Analysis:
         """Local estimates; a global grid among the features endorses their candidates."""
         self._need(Feature.BPM)
         nominal = self.grid().select("track_id", "nominal") if Feature.GLOBAL_GRID in self.features else None
-        return tempo.estimated(tempo.onset_flux(self.samples, self.geometry), self.geometry, nominal)
+        g = self.geometry
+        b = self._bins(g.onset_frames)
+        return tempo.estimated(onset.flux(b, onset.evidence(b, g.onset_capacity)), g, nominal)
 
     def candidates(self) -> DataFrame:
         return tempo.candidates(self.tempo)
