@@ -24,3 +24,11 @@ def test_stages_keep_columns(spark, sf_dir):
     docs = documents(spark, sf_dir)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_pipeline_of_empty_tables(spark, sf_dir, tmp_path):
+    documents(spark, sf_dir).limit(0).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert out.count() == 0 and out.columns == ["doc_id", "ids"]
+    assert pieces.round_trips(documents(spark, f"file://{tmp_path}")).count() == 0
