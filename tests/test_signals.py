@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.config import COLUMN_CLIPPED, COLUMN_VALID, FINAL, Feature, Geometry, closure, is_coherent
 from cadenza.functions import series
-from cadenza.operators import bands, grid, onset, waveform
+from cadenza.operators import bands, grid, onset, seeding, tempo, waveform
 from cadenza.plans.analysis import Analysis
 from cadenza.sources import synthetic
 
@@ -68,6 +68,62 @@ def test_resume_equals_one_go(spark):
     assert {tuple(r) for r in waveform.resumed(first, rest).collect()} == whole
 
 
+def test_seed_gives_the_columns_again(spark):
+    x = np.cos(np.arange(1000) / 3.0) * 1.01
+    df = frame(spark, {"a": x.clip(-1, 1)})
+    total = waveform.totals(df)
+    whole = waveform.columns(df, 64, total)
+    first = waveform.columns(df.filter("frame < 512"), 64)
+    joined = waveform.merged(seeding.restored(first, 64, total).unionByName(waveform.accumulators(df.filter("frame >= 512"), 64)))
+    assert {tuple(r) for r in waveform.finalized(joined).collect()} == {tuple(r) for r in whole.collect()}
+
+
+def test_seed_of_another_source_is_refused(spark):
+    config = {"track_id": "a", "sample_rate": 48_000, "channels": 1, "layout": 1, "fingerprint_kind": 1, "fingerprint": "x", "require_identity": False, "total_frames": 1000, "frames_per_column": 64}
+    prior = {"prior_sample_rate": 48_000, "prior_channels": 1, "prior_layout": 0, "prior_fingerprint_kind": 1, "prior_fingerprint": "x", "prior_total_frames": 1000, "prior_frames_per_column": 64, "prior_end": 512}
+
+    def reason(**change):
+        row = config | prior | change
+        return spark.createDataFrame([row]).select(seeding.conflict().alias("r")).first().r
+
+    assert reason() is None and reason(prior_sample_rate=0) is None and reason(prior_fingerprint_kind=0) is None
+    wrong = {"prior_sample_rate": 44_100, "prior_channels": 2, "prior_layout": 2, "prior_fingerprint": "y", "prior_total_frames": 999, "prior_frames_per_column": 128, "prior_end": 1001}
+    assert [reason(**{k: v}) for k, v in wrong.items()] == ["sample_rate", "channels", "layout", "fingerprint", "length", "column_size", "beyond_end"]
+    assert reason(require_identity=True, fingerprint_kind=0) == "identity"
+    sides = [spark.createDataFrame([{"track_id": "a"} | prior | {"prior_channels": 2}]), spark.createDataFrame([config])]
+    with pytest.raises(Exception, match="seed conflict of track a: channels"):
+        seeding.checked(*sides).collect()
+
+
+def test_bands_start_anew_after_a_gap(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.uniform(-1, 1, 64 * 8), rng.uniform(-1, 1, 64 * 8)
+    rows = pd.concat([pd.DataFrame({"track_id": "t", "frame": np.arange(len(a)), "x": a}), pd.DataFrame({"track_id": "t", "frame": np.arange(len(b)) + 1024, "x": b})])
+    got = {r.column_index: r[2:5] for r in bands.band_columns(spark.createDataFrame(rows), 64, 44_100).collect()}
+    alone = {r.column_index: r[2:5] for r in bands.band_columns(frame(spark, {"t": b}), 64, 44_100).collect()}
+    assert {k - 16: v for k, v in got.items() if k >= 16} == alone
+
+
+def test_features_roll_up_from_one_pass(spark):
+    """What an analysis gives is what the operators give on the samples."""
+    rng = np.random.default_rng(5)
+    g = Geometry(sample_rate=48_000)
+    x = frame(spark, {"a": rng.uniform(-1, 1, 5000), "b": np.concatenate([clicks(90, 600), [0.5]])}).filter("not (track_id = 'a' and frame between 2048 and 2100)")
+    a = Analysis(x, Feature.DETAIL | Feature.BPM, g, keep=True)
+    total = waveform.totals(x)
+    same = lambda p, q: assert_rows(p, q.select(*p.columns))
+    same(a.columns, waveform.columns(x, g.frames_per_column, total))
+    same(a.detail(), waveform.columns(x, g.detail_frames, total))
+    same(a._bins(g.onset_frames), onset.bins(x, g.onset_frames))
+    same(a._bins(g.global_frames), onset.bins(x, g.global_frames))
+    same(a.tempo.select("track_id", "tempo", "confidence"), tempo.estimated(tempo.onset_flux(x, g), g))
+
+
+def assert_rows(p, q):
+    rows = sorted(map(tuple, p.collect()), key=str)
+    assert rows and rows == sorted(map(tuple, q.collect()), key=str)
+
+
 def test_tones_order_bands(spark):
     t = np.arange(3 * 1024) / 44_100
     x = np.concatenate([0.7 * np.sin(2 * np.pi * f * t) for f in (60, 800, 6000)])
