@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import MAX_SAMPLE_RATE
 
@@ -105,11 +106,54 @@ def wav_samples(files: DataFrame, block: int = 65_536) -> DataFrame:
     return files.mapInPandas(run, "track_id string, frame long, x double")
 
 
+def wav_blocks(files: DataFrame, block: int = 65_536) -> DataFrame:
+    """(path, content) to (track_id, first_frame, frame_count, content): stretches of frames, each a sound file of its own that can be pulled alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p, c in zip(pdf["path"], pdf["content"], strict=True):
+                data = bytes(c)
+                f = wav_format(data)
+                for first in range(0, f["frames"], block):
+                    n = min(block, f["frames"] - first)
+                    start = f["start"] + first * f["align"]
+                    yield pd.DataFrame([(p, first, n, _wrapped(data[start : start + n * f["align"]], f))], columns=["track_id", "first_frame", "frame_count", "content"])
+
+    return files.mapInPandas(run, "track_id string, first_frame long, frame_count long, content binary")
+
+
+def pulled(blocks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(track_id, frame, x) of ``wav_blocks``, or only of those that overlap a range of ``wanted`` (track_id, first_frame, end_frame).
+
+    Blocks are dealt out by track and place, so a long file is decoded by many tasks; a block that nothing asks for isn't decoded.
+    """
+    rows = blocks
+    if wanted is not None:
+        w = wanted.select(F.col("track_id").alias("__t"), F.col("first_frame").alias("__f"), F.col("end_frame").alias("__e"))
+        on = (F.col("__t") == F.col("track_id")) & (F.col("__f") < F.col("first_frame") + F.col("frame_count")) & (F.col("first_frame") < F.col("__e"))
+        rows = rows.join(w, on, "left_semi")
+    rows = rows.repartition("track_id", "first_frame")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t, first, c in zip(pdf["track_id"], pdf["first_frame"], pdf["content"], strict=True):
+                x = wav_frames(bytes(c), 0, 1 << 40)
+                yield pd.DataFrame({"track_id": t, "frame": np.arange(first, first + len(x)), "x": x})
+
+    return rows.mapInPandas(run, "track_id string, frame long, x double")
+
+
 def wav_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def _wrapped(body: bytes, f: dict) -> bytes:
+    """A sound file of raw frames."""
+    tag, rate, align = 3 if f["kind"] == "float" else 1, f["sample_rate"], f["align"]
+    return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, tag, f["channels"], rate, rate * align, align, f["bits"]) + b"data" + struct.pack("<I", len(body)) + body
+
+
 def wav_bytes(x: np.ndarray, sample_rate: int) -> bytes:
     """A mono 16-bit file."""
     v = np.where(x < 0, np.rint(x * 32768), np.rint(x * 32767)).clip(-32768, 32767).astype("<i2").tobytes()
-    return b"RIFF" + struct.pack("<I", 36 + len(v)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, sample_rate, sample_rate * 2, 2, 16) + b"data" + struct.pack("<I", len(v)) + v
+    return _wrapped(v, {"kind": "pcm", "sample_rate": sample_rate, "channels": 1, "align": 2, "bits": 16})
