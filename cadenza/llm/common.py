@@ -36,6 +36,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fitted(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """``df``, a checkpoint with ``rows`` rows at most, in no more partitions than these need: what is small afterwards leaves few shuffle files."""
+    parts = max(1, -(-rows // each))
+    return df.coalesce(parts) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to a folder of its own in the shared one and read it again."""
     at = new_folder(df.sparkSession, name)

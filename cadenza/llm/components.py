@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, fitted
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -25,6 +25,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = checkpointed(edges)
     before = _state(edges)
     while before[0]:
+        edges = fitted(edges, before[0])
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, checkpointed, chunks, column, free_name
+from .common import CHUNK_BYTES, checkpointed, chunks, column, fitted, free_name
 from .components import components
 from .vectext import U, Texts, mix, ngram_hash, unit
 
@@ -230,24 +230,29 @@ def near_classes(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     rows = classes.select("doc", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = checkpointed(rows.join(sizes, "bucket"))
+    n = members.count()  # bounds all tables of documents and pairs below but those of shingles
+    members = fitted(members, n)
     central = members.groupBy("doc").agg(F.sum("size").alias("central"))
-    members = checkpointed(members.join(central, "doc").select("bucket", "doc", "central"))
+    members = fitted(checkpointed(members.join(central, "doc").select("bucket", "doc", "central")), n)
     ids = members.select("doc").distinct()
     held = checkpointed(prints(docs.select("doc_id", "text").join(ids.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"), rules).dropDuplicates(["doc_id"]))
-    label = checkpointed(ids.select("doc", F.col("doc").alias("comp")))
+    label = fitted(checkpointed(ids.select("doc", F.col("doc").alias("comp"))), n)
     links = tested = docs.sparkSession.createDataFrame([], "a long, b long")
     first = members.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("doc")).alias("n"))).alias("s")).select("bucket", (-F.col("s.n")).alias("pivot"))
-    stars = checkpointed(members.join(first, "bucket").filter("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("shared")))
+    stars = fitted(checkpointed(members.join(first, "bucket").filter("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("shared"))), n)
 
     def verify(pairs: DataFrame) -> None:
         nonlocal links, tested, label
         pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
+        count = pairs.count()
+        if not count:
             return
+        pairs = fitted(pairs, count)
         found = checkpointed(overlap(pairs, held, rules.similarity))
+        found = fitted(found, found.count())
         tested, links = tested.union(pairs), links.union(found)
         if not found.isEmpty():
-            label = _relabelled(label, found)
+            label = fitted(_relabelled(label, found), n)
 
     # each document against the pivot it shares most buckets with, then against the pivots of other components
     best = stars.groupBy("doc").agg(F.max(F.struct("shared", (-F.col("pivot")).alias("n"))).alias("s")).select(F.col("doc").alias("a"), (-F.col("s.n")).alias("b"))
@@ -257,7 +262,7 @@ def near_classes(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     # documents outside their pivot's component, with all that share the pivot
     both = stars.join(label, "doc").join(label.select(F.col("doc").alias("pivot"), F.col("comp").alias("pc")), "pivot").select("pivot", "doc", "comp", (F.col("comp") != F.col("pc")).alias("rest"))
     open_ones = both.groupBy("pivot").agg(F.max("rest").alias("any"), F.count("*").alias("n")).filter("any and n > 1").select("pivot")
-    both = checkpointed(both.join(open_ones, "pivot"))
+    both = fitted(checkpointed(both.join(open_ones, "pivot")), n)
     if not both.isEmpty():
         verify(left_over(both, held, rules.similarity))
     degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
