@@ -435,6 +435,25 @@ def test_lm_scores(spark, odd_rows, head):
             assert math.isfinite(r.score)
 
 
+@pytest.mark.parametrize("sizes", [{}, {"batch_bytes": 400, "piece": 64, "shard": 300}])
+def test_lm_keeps_n_grams_of_rare_words(spark, sizes):
+    """Scores are those of the whole model however few words every task holds, and don't depend on batches and shards."""
+    rows = lm_rows(seed=21)
+    rows += [(2000 + i, f"so the odd Pair{k} Follows{k} now and pair{k} follows{k} here", "en", "s") for i, k in enumerate([*range(40)] * 2)]
+    rules = lm.LMRules(head=8, vocabulary=8, **sizes)
+    got = lm.score(table(spark, rows), rules).collect()
+    want = plain_lm(rows, rules)
+    assert len(got) == len(rows)
+    whole = {r.doc_id: r.score for r in lm.score(table(spark, rows)).collect()}
+    text = {i: t for i, t, *_ in rows}
+    for r in got:
+        w = want[r.doc_id, text[r.doc_id]]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3]
+        assert r.base_score == pytest.approx(w[3], abs=1e-9)
+        assert r.score == pytest.approx(w[4], abs=0.0005 * r.n_tokens)
+        assert r.score == pytest.approx(whole[r.doc_id], abs=1e-9)
+
+
 def test_lm_of_an_empty_table(spark):
     assert lm.score(table(spark, [])).count() == 0
 
