@@ -116,11 +116,13 @@ class Model:
     known: np.ndarray
     rules: LanguageRules
 
-    def covered(self, col: pa.Array) -> np.ndarray:
-        """The largest share, from 0 to 1, of each text's grams that the landmarks of one language have."""
-        total = np.zeros(len(col))
-        known = applied(col, self.grams, self.known, self.rules, total).max(axis=1)
-        return known / np.where(total > 0, total, 1)
+    def judged(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The largest share, from 0 to 1, of each text's grams that the landmarks of one language have, and by how much the first output leads the second."""
+        total, k = np.zeros(len(col)), len(self.langs)
+        got = applied(col, self.grams, np.hstack([self.known, self.weights]), self.rules, total)
+        best = np.sort(got[:, k:], axis=1)
+        lead = best[:, -1] - best[:, -2] if k > 1 else np.full(len(col), np.inf)
+        return got[:, :k].max(axis=1) / np.where(total > 0, total, 1), lead
 
     def outputs(self, col: pa.Array) -> np.ndarray:
         """One-versus-rest outputs: a row for each text, a column for each language."""
@@ -213,8 +215,8 @@ def classify(docs: DataFrame, rules: LanguageRules = LanguageRules(), hold_modul
     return predict(docs, model, rules).select("doc_id", held_out(F.col("doc_id"), hold_modulus).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, rules: LanguageRules = LanguageRules(), min_known: float = 0.46, hold_modulus: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose language is known: not ``und``, and ``min_known`` of their grams are those of one language, however many there are.  All columns stay as they are."""
+def accepted(docs: DataFrame, rules: LanguageRules = LanguageRules(), min_known: float = 0.46, min_lead: float = 0.05, hold_modulus: int = 4) -> DataFrame:
+    """The rows of ``docs`` whose language is known: not ``und``, ``min_known`` of their grams are those of one language, and the classifier's output for one leads all others by ``min_lead``, however many there are.  All columns stay as they are."""
     model = fit(docs.filter(~held_out(F.col("doc_id"), hold_modulus)), rules)
     schema, letter = docs.schema, free_name("__letter", docs.columns)
 
@@ -224,7 +226,8 @@ def accepted(docs: DataFrame, rules: LanguageRules = LanguageRules(), min_known:
             good = np.zeros(batch.num_rows, bool)
             for s in range(0, batch.num_rows, 256):
                 if model is not None:
-                    good[s : s + 256] = model.covered(column(batch, "text").slice(s, 256)) >= min_known
+                    known, lead = model.judged(column(batch, "text").slice(s, 256))
+                    good[s : s + 256] = (known >= min_known) & (lead >= min_lead)
             yield batch.drop_columns([letter]).filter(pa.array(good & flags))
 
     has = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))

@@ -361,6 +361,19 @@ def test_unknown_languages_are_not_accepted(spark, known):
     assert {r.doc_id for r in langid.accepted(df).collect()} == {r[0] for r in rows}
 
 
+def test_texts_between_languages_are_not_accepted(spark):
+    """Texts of words of two languages in turn have enough grams of one, but the classifier can't tell which it is."""
+    rng = random.Random(1)
+    rows = languages(120)
+    own = [[w for _, t, x, _ in rows if x == lang for w in t.split()] for lang in ("en", "de")]
+    mixed = [(900 + i, " ".join(rng.choice(own[k % 2]) for k in range(60)), None, "s") for i in range(8)]
+    df = table(spark, rows + mixed)
+    clear, all_ids = {r[0] for r in rows}, {r[0] for r in rows + mixed}
+    got = {r.doc_id for r in langid.accepted(df).collect()}
+    assert clear <= got < all_ids
+    assert {r.doc_id for r in langid.accepted(df, min_lead=0.3).collect()} == clear
+
+
 def test_rollup_deltas(spark, tmp_path):
     r = rollups.Rollup(spark, f"file://{tmp_path}/r")
     cols = "doc_id long, op string, source string, lang string, tokenizer string, n_tokens long"
