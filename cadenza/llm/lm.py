@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, checkpointed, chunks, column, held_out, stored
+from .common import CHUNK_BYTES, checkpointed, chunks, column, held_out
 from .eliasfano import EliasFano, dump, load, read
 from .vectext import Texts, U, mix
 
@@ -59,13 +59,16 @@ TAIL = U(1 << 63)
 
 
 def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes of all tokens in order, an end after each text's words, and the text of each."""
-    t = Texts(column(batch, "text"), lower=True)
-    starts, ends, doc = t.words()
-    h = t.span_hash(starts, ends).view(np.int64)
-    n = np.bincount(doc, minlength=t.n)
-    at = np.cumsum(n)
-    return np.insert(h, at, END_KEY), np.insert(doc, at, np.arange(t.n)), t.n
+    """Hashes of all tokens in order, an end after each text's words, and the text of each; few texts' bytes are in arrays at once."""
+    hashes, docs, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for part in chunks([batch]):
+        t = Texts(column(part, "text"), lower=True)
+        starts, ends, doc = t.words()
+        at = np.cumsum(np.bincount(doc, minlength=t.n))
+        hashes.append(np.insert(t.span_hash(starts, ends).view(np.int64), at, END_KEY))
+        docs.append(np.insert(doc, at, np.arange(t.n)) + before)
+        before += t.n
+    return np.concatenate(hashes), np.concatenate(docs), before
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -359,6 +362,25 @@ def summed(blobs: list[bytes], base: int, rules: LMRules) -> tuple[list[bytes],
     return answers, packed([some, sum1[some]])
 
 
+def rows_of(rows: Iterator[tuple], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """(shard, batch, piece, data) in record batches of about ``limit`` bytes of data."""
+
+    def made() -> pa.RecordBatch:
+        kinds = {"shard": pa.int32(), "batch": pa.int64(), "piece": pa.int32(), "data": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*held, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= limit:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
+
+
 def pieces_of(batch: pa.RecordBatch, head: Head, rules: LMRules) -> Iterator[tuple[int, slice, np.ndarray, Piece]]:
     """(number, tokens' places, their texts, piece) of a batch's tokens, ``piece`` of them at most at once."""
     h, doc, _ = tokens(batch)
@@ -403,8 +425,8 @@ def score(docs: DataFrame, rules: LMRules = LMRules()) -> DataFrame:
         # a copy: what Arrow slices keep the offsets of the whole
         return pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
 
-    # written, so that batches keep their numbers
-    texts = stored(docs.mapInArrow(pack, "texts binary").select(F.monotonically_increasing_id().alias("batch"), "texts"), "lm-texts")
+    # written, so that batches keep their numbers; as a checkpoint, whose rows are read one by one: a Parquet reader takes thousands at once, whatever their size
+    texts = checkpointed(docs.mapInArrow(pack, "texts binary").select(F.monotonically_increasing_id().alias("batch"), "texts"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -412,36 +434,22 @@ def score(docs: DataFrame, rules: LMRules = LMRules()) -> DataFrame:
                 batch = opened(blob.as_py())
                 train = ~column(batch, "held").to_numpy(zero_copy_only=False).astype(bool)
                 for k, _, doc, piece in pieces_of(batch, shared.value, rules):
-                    got = list(piece.asks(train[doc].astype(float)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([s for s, _ in got], pa.int32()), pa.array([number] * len(got), pa.int64()), pa.array([k] * len(got), pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["shard", "batch", "piece", "data"]
-                    )
+                    yield from rows_of((s, number, k, x) for s, x in piece.asks(train[doc].astype(float)))
                 pa.default_memory_pool().release_unused()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answers(shard: int, rows: list) -> Iterator[pa.RecordBatch]:
-            data, sums = summed([x for *_, x in rows], base, rules)
-            yield from (
-                pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int32()), pa.array([number], pa.int64()), pa.array([k], pa.int32()), pa.array([x], pa.binary())], names=["shard", "batch", "piece", "data"]
-                )
-                for (number, k, _), x in zip([*rows, (None, None, None)], [*data, sums], strict=True)
-            )
-
-        last, held = None, []
+        held: dict[int, list] = {}
         for batch in batches:
-            for shard, number, k, x in zip(*(column(batch, name).to_pylist() for name in ("shard", "batch", "piece", "data")), strict=True):
-                if held and shard != last:
-                    yield from answers(last, held)
-                    held = []
-                last = shard
-                held.append((number, k, x))
-        if held:
-            yield from answers(last, held)
+            for shard, *row in zip(*(column(batch, name).to_pylist() for name in ("shard", "batch", "piece", "data")), strict=True):
+                held.setdefault(shard, []).append(row)
+        for shard in sorted(held):
+            rows = sorted(held.pop(shard), key=lambda r: r[:2])
+            data, sums = summed([x for *_, x in rows], base, rules)
+            yield from rows_of((shard, number, k, x) for (number, k, _), x in zip([*rows, (None, None, None)], [*data, sums], strict=True))
 
     kinds = "shard int, batch long, piece int, data binary"
-    asked = texts.mapInArrow(ask, kinds).repartition(shards, "shard").sortWithinPartitions("shard", "batch", "piece")
-    answers = stored(asked.mapInArrow(answer, kinds), "lm-answers")
+    # a shard is a task, which puts the rows in order itself: Spark's sort would hold them all once more
+    answers = checkpointed(texts.mapInArrow(ask, kinds).repartitionById(shards, "shard").mapInArrow(answer, kinds))
     after = np.zeros(base)
     for r in answers.filter("batch is null").select("data").orderBy("shard").toLocalIterator():
         at, x = unpacked(bytes(r["data"]))
@@ -473,18 +481,17 @@ def score(docs: DataFrame, rules: LMRules = LMRules()) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict = {}
+        held: dict[int, dict] = {}
         for rows in batches:
-            for shard, k, x in zip(*(column(rows, name).to_pylist() for name in ("shard", "piece", "data")), strict=True):
-                if shard < 0:  # the texts come after their answers
-                    yield scored(opened(x), got)
-                    got = {}
-                    pa.default_memory_pool().release_unused()
-                else:
-                    got[k, shard] = x
+            for shard, number, k, x in zip(*(column(rows, name).to_pylist() for name in ("shard", "batch", "piece", "data")), strict=True):
+                held.setdefault(number, {})[k, shard] = x
+        for number in sorted(held):
+            got = held.pop(number)
+            yield scored(opened(got.pop((-1, -1))), got)
+            pa.default_memory_pool().release_unused()
 
     both = answers.filter("batch is not null").unionByName(texts.select(F.lit(-1).alias("shard"), "batch", F.lit(-1).alias("piece"), F.col("texts").alias("data")))
     parts = max(1, 2 * shards)
-    return both.repartition(parts, "batch").sortWithinPartitions("batch", F.desc("shard")).mapInArrow(
+    return both.repartition(parts, "batch").mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -458,6 +459,33 @@ def test_lm_of_an_empty_table(spark):
     assert lm.score(table(spark, [])).count() == 0
 
 
+def test_lm_tokens_of_a_batch_take_little_memory():
+    """A batch's tokens are those of its texts one by one, and few texts' bytes are in arrays at once."""
+    rng = random.Random(3)
+    texts = [" ".join(f"Word{rng.randrange(5000)}" for _ in range(400)) for _ in range(1200)]
+    texts[5:5] = [None, "", " \t", "x" * 700_000, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    lm.tokens(batch.slice(0, 2))
+    tracemalloc.start()
+    try:
+        h, doc, n = lm.tokens(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == len(texts)
+    assert peak < 12 * batch.nbytes
+    one = [lm.tokens(batch.slice(i, 1))[0] for i in range(n)]
+    assert h.tolist() == np.concatenate(one).tolist()
+    assert doc.tolist() == np.repeat(np.arange(n), [len(x) for x in one]).tolist()
+
+
+def test_lm_rows_of_many_bytes_go_one_by_one(spark):
+    """Spark neither sorts the answers and texts, which holds a task's rows in memory, nor reads them by columns of thousands of rows."""
+    plan = lm.score(table(spark, lm_rows()), lm.LMRules(batch_bytes=400, piece=64, shard=300))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+    assert "Sort" not in plan and "parquet" not in plan.lower()
+
+
 def test_quantised_probabilities_add_up():
     """Over all words and any context the interpolated model is a distribution, to within its codes."""
     rng = np.random.default_rng(1)
