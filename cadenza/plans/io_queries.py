@@ -298,7 +298,8 @@ def container_faults(spark, sf_dir):
                     out.append((key, fault, e.code, None, None, None))
             yield pd.DataFrame(out, columns=["p_partkey", "fault", "outcome", "tempo", "beats", "has_detail"]).astype({"has_detail": "boolean"})
 
-    return part.mapInPandas(run, "p_partkey long, fault long, outcome string, tempo int, beats int, has_detail boolean")
+    # a row is few bytes and much work: by a number, so that Spark doesn't put small partitions together again
+    return part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey").mapInPandas(run, "p_partkey long, fault long, outcome string, tempo int, beats int, has_detail boolean")
 
 
 @query(waveform_queries.ORACLE_SQL["overview_columns"])

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.config import FINAL, Geometry
 from cadenza.functions import ranges
@@ -150,6 +151,34 @@ def test_container_scan(spark, tmp_path):
     assert same == 7
 
 
+def test_checksums_of_any_length_and_of_short_sections_by_lookups_alone(monkeypatch):
+    def plain(data: bytes) -> int:
+        r = 0xFFFFFFFF
+        for b in data:
+            r ^= b
+            for _ in range(8):
+                r = r >> 1 ^ (0x82F63B78 if r & 1 else 0)
+        return r ^ 0xFFFFFFFF
+
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 9, 92, 511, 512, 513, 1023, 1024, 1025, 2560, 5000):
+        data = rng.bytes(n)
+        assert (L.crc32c(data), L.crc32c(b"\0" * n)) == (plain(data), plain(b"\0" * n))
+    long = rng.bytes((3 << 20) + 77)  # more pieces than are looked up together; a register is linear in the bytes
+    zeros = L.crc32c(bytes(len(long)))
+    head, tail = long[: 1 << 20] + bytes(len(long) - (1 << 20)), bytes(1 << 20) + long[1 << 20 :]
+    assert L.crc32c(long) == L.crc32c(head) ^ L.crc32c(tail) ^ zeros
+    monkeypatch.setattr(L, "_advance", None)
+    assert L.crc32c(b"123456789") == 0xE3069283
+
+
+def test_faulty_containers_are_dealt_out_to_many_tasks(spark, tmp_path):
+    n = 2000
+    pd.DataFrame({"p_partkey": np.arange(n), "p_size": (np.arange(n) % 50 + 1).astype("int32")}).to_parquet(tmp_path / "part.parquet")
+    rows = io_queries.container_faults(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) == 4 and sum(r["count"] for r in rows) == n and max(r["count"] for r in rows) < n / 2
+
+
 def test_wav(spark, tmp_path):
     x = np.sin(np.arange(1000) / 5.0) * 0.9
     data = audio.wav_bytes(x, 8000)
